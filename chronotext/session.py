@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,22 @@ def get_spark(app: str = "chronotext", cores: int | str = "*", **conf: str) -> S
     return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=defaults | conf).getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per context, so that they need no installation."""
+    sc = spark.sparkContext
+    if getattr(sc, "_chronotext_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="chronotext-")) / "chronotext.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in root.rglob("*.py"):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._chronotext_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors and ends the lineage of iterative plans."""
+    ship_package(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
