@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.llm import sets
-from chronotext.llm.near_dup import LEAST_WORDS, SIMILARITY
+from chronotext.llm.near_dup import LEAST_WORDS, SIMILARITY, with_texts
 from chronotext.session import cut_lineage, shuffle_partitions, table
 
 GRAM, WINDOW = 3, 3
@@ -202,9 +202,10 @@ def cross_split_links(rows: DataFrame, id_: str, text: str, split: str, train: s
     measure = sets.Measure(t, least)
     pairs = fingerprint_pairs(kept.select("text", "kind"), measure)
     near = cut_lineage(sets.xx_bits(sets.keyed(kept, "text", least, ["id", "kind"]), sets.key_filter(pairs)))
-    one = near.groupBy("kind", "key", "content").agg(F.min("text").alias("text"))
-    side = lambda k, s: one.filter(F.col("kind") == k).select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "content", "text")])
-    both = pairs.join(side(0, "a"), "key_a").join(side(1, "b"), "key_b").select("key_a", "content_a", "key_b", "content_b", "text_a", "text_b")
+    of = lambda k: near.filter(F.col("kind") == k)
+    close = cut_lineage(sets.close_pairs(pairs, *(of(k).select(*sets.NAMED).distinct() for k in (0, 1)), measure))
+    near = sets.xx_bits(near, sets.key_filter(close))
+    both = with_texts(close, of(0), of(1)).select("key_a", "content_a", "key_b", "content_b", "text_a", "text_b")
 
     def checked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -28,6 +28,12 @@ def verified(pairs: DataFrame, measure: sets.Measure) -> DataFrame:
     return pairs.mapInArrow(exact, pairs.select(*left).schema)
 
 
+def with_texts(close: DataFrame, rows_a: DataFrame, rows_b: DataFrame) -> DataFrame:
+    """close with a text of each set (any that has its words)."""
+    side = lambda df, s: df.groupBy("key", "content").agg(F.min("text").alias("text")).select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "content", "text")])
+    return close.join(side(rows_a, "a"), ["key_a", "content_a"]).join(side(rows_b, "b"), ["key_b", "content_b"])
+
+
 def similar_sets(rows: DataFrame, id_: str, text: str, measure: sets.Measure) -> tuple[DataFrame, DataFrame]:
     """(links, members) of all sets that have a similar set or a copy.
 
@@ -38,10 +44,12 @@ def similar_sets(rows: DataFrame, id_: str, text: str, measure: sets.Measure) ->
     plan = sets.plan_for(kept, "id", "text", measure)
     pairs = sets.candidates(kept, "text", plan)
     near = cut_lineage(sets.xx_bits(sets.keyed(kept, "text", measure.least, ["id"]), sets.key_filter(pairs)))
-    one = near.groupBy("key", "content").agg(F.min("text").alias("text"))
-    side = lambda s: one.select(F.col("key").alias(f"key_{s}"), F.col("content").alias(f"content_{s}"), F.col("text").alias(f"text_{s}"))
-    both = pairs.join(side("a"), "key_a").join(side("b"), "key_b").filter((F.col("key_a") != F.col("key_b")) | (F.col("content_a") < F.col("content_b")))
-    links = cut_lineage(verified(both.select("key_a", "content_a", "key_b", "content_b", "text_a", "text_b"), measure))
+    named = near.select(*sets.NAMED).distinct()
+    apart = (F.col("key_a") != F.col("key_b")) | (F.col("content_a") < F.col("content_b"))
+    close = cut_lineage(sets.close_pairs(pairs, named, named, measure).filter(apart))
+    left = sets.xx_bits(near, sets.key_filter(close.select("key_a", "key_b").union(pairs.filter("key_a = key_b"))))
+    links = cut_lineage(verified(with_texts(close, left, left), measure))
+    near = left
     return links, near.select("key", "content", "id").distinct()
 
 

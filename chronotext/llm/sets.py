@@ -43,6 +43,10 @@ CODE_BITS = 23
 SAMPLE, BUCKET_POSTINGS, CELLS, FILTER_BITS = 8_000, 1_500_000, 8, 1 << 23
 
 
+#: What names a set (key and content hash) and bounds its difference from others (wide parity).
+NAMED = ["key", "content", "low", "high"]
+
+
 def words(sentence: str) -> list[str]:
     return WORD.findall(sentence.lower())
 
@@ -122,6 +126,15 @@ def keys_of(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return (np.bitwise_xor.reduceat(bits, starts) << U(SIZE_BITS)) | np.minimum(sizes, 127).astype(U)
 
 
+def wide_parity(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A second parity of the word hashes, of 128 bits in two numbers, by another hash than that of the keys."""
+    if not len(starts):
+        return np.zeros(0, U), np.zeros(0, U)
+    at = mix(hashes ^ U(0xA5A5A5A5DEADBEEF)) % U(128)
+    bit = U(1) << (at % U(64))
+    return np.bitwise_xor.reduceat(np.where(at < 64, bit, U(0)), starts), np.bitwise_xor.reduceat(np.where(at < 64, U(0), bit), starts)
+
+
 def content_of(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """64 bits that, with the key, name the set."""
     return mix(np.add.reduceat(hashes, starts)) if len(starts) else np.zeros(0, U)
@@ -515,7 +528,7 @@ def xx_bits(keys: DataFrame, words_: np.ndarray) -> DataFrame:
 
 
 def keyed(rows: DataFrame, text: str, least: int, others: list[str]) -> DataFrame:
-    """Rows with enough words, with the key and the content hash of their set."""
+    """Rows with enough words, with the key, the content hash and the wide parity of their set."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
@@ -526,9 +539,20 @@ def keyed(rows: DataFrame, text: str, least: int, others: list[str]) -> DataFram
             starts = np.cumsum(sets.sizes) - sets.sizes
             kept = b.take(pa.array(sets.rows))
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(keys_of(h, starts, sets.sizes).view(np.int64)), pa.array(content_of(h, starts).view(np.int64))], [*kept.schema.names, "key", "content"]
+                [*kept.columns, *(pa.array(x.view(np.int64)) for x in (keys_of(h, starts, sets.sizes), content_of(h, starts), *wide_parity(h, starts)))], [*kept.schema.names, *NAMED]
             )
 
     few = rows.select(*others, text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in few.schema.fields)
-    return few.mapInArrow(add, f"{schema}, key long, content long")
+    return few.mapInArrow(add, f"{schema}, " + ", ".join(f"{c} long" for c in NAMED))
+
+
+def close_pairs(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame, measure: Measure) -> DataFrame:
+    """(key_a, content_a, key_b, content_b) of candidate sets whose wide parities allow the similarity. sets_*: NAMED."""
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{c}_{s}") for c in NAMED])
+    both = pairs.join(side(sets_a, "a"), "key_a").join(side(sets_b, "b"), "key_b")
+    size = lambda s: F.col(f"key_{s}").bitwiseAND(127)
+    total, part = size("a") + size("b"), measure.t.numerator + measure.t.denominator
+    most = total - 2 * F.floor((total * measure.t.numerator + part - 1) / part)
+    far = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("low", "high"))
+    return both.filter((F.greatest(size("a"), size("b")) == 127) | (far <= most)).select("key_a", "content_a", "key_b", "content_b")
