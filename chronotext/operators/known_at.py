@@ -29,10 +29,15 @@ def known_at(
     version: Sequence[Column],
     payload: Sequence[str],
     span_days: int = 366,
+    inclusive: bool = True,
+    salts: int = 1,
 ) -> DataFrame:
     """Each event with the payload of the best version among the changes available by its time (inclusive).
 
-    entity: key columns present in both inputs. event_time, available: DATE or TIMESTAMP columns of the same type.
+    entity: key columns present in both inputs. event_time, available: DATE, TIMESTAMP or LONG (microseconds)
+    columns of the same type. inclusive: a change at the very time of an event is known to it. salts: events of
+    one entity and span are spread over so many tasks, each with a copy of the (reduced) changes; for few, very hot
+    entities.
     version: expressions over `changes`; the largest tuple wins, compared in order. payload: columns of `changes` to
     return, renamed `known_<name>`, so that clashing names of the two sides never meet.
 
@@ -41,7 +46,10 @@ def known_at(
     """
     keys = [f"__k{i}" for i in range(len(entity))]
     picked = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(version)], *[F.col(c).alias(f"p{i}") for i, c in enumerate(payload)])
-    span = F.floor(F.datediff(F.col("__t").cast("date"), F.lit("1970-01-01").cast("date")) / span_days)
+    if changes.schema[available].dataType.simpleString() == "bigint":
+        span = F.floor(F.col("__t") / (span_days * 86_400_000_000))
+    else:
+        span = F.floor(F.datediff(F.col("__t").cast("date"), F.lit("1970-01-01").cast("date")) / span_days)
     best = (
         changes.select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], F.col(available).alias("__t"), picked.alias("__v"))
         .dropna(subset=[*keys, "__t"])
@@ -58,10 +66,15 @@ def known_at(
     ).groupBy(*keys, "__span").agg(F.max("__v").alias("__v"))
     before = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
     carried = spans.select(*keys, "__span", F.lit(None).cast(best.schema["__t"].dataType).alias("__t"), F.lit(0).alias("__prio"), F.max("__v").over(before).alias("__v"), F.lit(None).cast(event_kind).alias("__e"))
-    stream = carried.unionByName(best.select("*", F.lit(1).alias("__prio"), F.lit(None).cast(event_kind).alias("__e"))).unionByName(
-        asked.select("*", F.lit(2).alias("__prio"), F.lit(None).cast(kind).alias("__v"))
-    )
-    sofar = Window.partitionBy(*keys, "__span").orderBy(F.col("__t").asc_nulls_first(), "__prio").rowsBetween(Window.unboundedPreceding, 0)
+    changes_known = carried.unionByName(best.select("*", F.lit(1 if inclusive else 3).alias("__prio"), F.lit(None).cast(event_kind).alias("__e")))
+    asked = asked.select("*", F.lit(2).alias("__prio"), F.lit(None).cast(kind).alias("__v"))
+    if salts > 1:
+        changes_known = changes_known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        asked = asked.withColumn("__salt", F.pmod(F.xxhash64("__e"), F.lit(salts)).cast("int"))
+    else:
+        changes_known, asked = changes_known.withColumn("__salt", F.lit(0)), asked.withColumn("__salt", F.lit(0))
+    stream = changes_known.unionByName(asked)
+    sofar = Window.partitionBy(*keys, "__span", "__salt").orderBy(F.col("__t").asc_nulls_first(), "__prio").rowsBetween(Window.unboundedPreceding, 0)
     known = stream.withColumn("__known", F.max("__v").over(sofar)).filter(F.col("__prio") == 2)
     asked_ok = F.col("__t").isNotNull()
     for k in keys:
