@@ -157,14 +157,14 @@ NAMES = [value_map, document_aggregate, transforms, order_statistics, unpivot_ev
 QUERIES = {f.__name__: f for f in NAMES}
 
 _SEN = "CASE lower(trim(sen)) WHEN 'strongly_dovish' THEN -2.0 WHEN 'very dovish' THEN -2.0 WHEN 'dovish' THEN -1.0 WHEN 'neutral' THEN 0.0 WHEN 'hawkish' THEN 1.0 WHEN 'strongly_hawkish' THEN 2.0 WHEN 'very hawkish' THEN 2.0 ELSE 0.0 END"
-_SCORED = f"WITH sc AS (SELECT *, CAST({_SEN} AS DOUBLE) AS score, list_sort(list_distinct(list_filter(list_transform(coalesce(top, []), x -> replace(replace(lower(trim(x)), ' ', '_'), '-', '_')), x -> x <> ''))) AS topics FROM annotations)"
+_SCORED = f"WITH sc AS (SELECT *, CAST({_SEN} AS DOUBLE) AS score, list_sort(list_distinct(list_filter(list_transform(coalesce(top, []), lambda x: replace(replace(lower(trim(x)), ' ', '_'), '-', '_')), lambda x: x <> ''))) AS topics FROM annotations)"
 _LAB = _SCORED + ", lab AS (SELECT id, CASE WHEN score > 0 THEN 'up' WHEN score < 0 THEN 'down' ELSE 'none' END AS truth, CASE ris WHEN 'skewed_upside' THEN 'up' WHEN 'skewed_downside' THEN 'down' WHEN 'symmetric' THEN 'none' ELSE 'na' END AS predicted FROM sc WHERE sen <> '' AND ris <> '')"
 _MET = _LAB + ", u AS (SELECT truth AS label FROM lab UNION SELECT predicted FROM lab), m AS (SELECT label, (SELECT count(*) FROM lab WHERE truth = label AND predicted = label) AS tp, (SELECT count(*) FROM lab WHERE truth <> label AND predicted = label) AS fp, (SELECT count(*) FROM lab WHERE truth = label AND predicted <> label) AS fn FROM u), mm AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall FROM m), me AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM mm)"
 _TOP_SUMS = ", ".join(f"coalesce(sum(score) FILTER (list_contains(topics, '{t}')), 0.0) AS sent_{t}" for t in TOPICS)
 ORACLES = {
     "value_map": _SCORED + " SELECT sen, count(*) AS n, max(score) AS score FROM sc GROUP BY 1",
-    "document_aggregate": _SCORED + f" SELECT board, doc_type, count(*) AS n_sentences, sum(score) AS sent_total, {_TOP_SUMS}, round(stddev_samp(score) + 1e-7, 4) AS sent_sd, round(var_samp(score) + 1e-7, 4) AS sent_var, count(*) FILTER (score > 0) AS n_hawkish, count(*) FILTER (score < 0) AS n_dovish, bool_or(abs(score) = 2) AS flag_extreme FROM sc WHERE len(list_filter(topics, x -> x NOT IN ('no_topic', 'boilerplate'))) > 0 GROUP BY 1, 2",
-    "transforms": "SELECT event_id, CASE WHEN v > 0.01 THEN 1 WHEN v < -0.01 THEN -1 ELSE 0 END AS decision, CASE WHEN v <= -0.001 THEN 'Down' WHEN v <= 0.001 THEN 'Flat' ELSE 'Up' END AS cut, round(sign(v) * pow(abs(v), 1.1) + 1e-7, 4) AS power, round(sign(v) * ln(1 + abs(v)) + 1e-7, 4) AS log, CASE WHEN abs(event_id % 5 - 2) = 2 THEN sign(event_id % 5 - 2) * 3.0 ELSE event_id % 5 - 2 END AS ends, round(CASE WHEN value / 100 <= 0.25 AND event_id % 2 = 0 THEN -1.0 ELSE value / 100 END + 1e-7, 4) AS rate, round(value * user_id + 1e-7, 4) AS inter FROM (SELECT *, value - 40 AS v FROM events)",
+    "document_aggregate": _SCORED + f" SELECT board, doc_type, count(*) AS n_sentences, sum(score) AS sent_total, {_TOP_SUMS}, round(stddev_samp(score) + 1e-7, 4) AS sent_sd, round(var_samp(score) + 1e-7, 4) AS sent_var, count(*) FILTER (score > 0) AS n_hawkish, count(*) FILTER (score < 0) AS n_dovish, bool_or(abs(score) = 2) AS flag_extreme FROM sc WHERE len(list_filter(topics, lambda x: x NOT IN ('no_topic', 'boilerplate'))) > 0 GROUP BY 1, 2",
+    "transforms": "SELECT event_id, CASE WHEN v > 0.01 THEN 1 WHEN v < -0.01 THEN -1 ELSE 0 END AS decision, CASE WHEN v <= -0.001 THEN 'Down' WHEN v <= 0.001 THEN 'Flat' ELSE 'Up' END AS cut, round(sign(v) * pow(abs(v), 1.1) + 1e-7, 4) AS power, round(sign(v) * ln(1 + abs(v)) + 1e-7, 4) AS log, CAST(CASE WHEN abs(event_id % 5 - 2) = 2 THEN sign(event_id % 5 - 2) * 3.0 ELSE event_id % 5 - 2 END AS DOUBLE) AS ends, round(CASE WHEN value / 100 <= 0.25 AND event_id % 2 = 0 THEN -1.0 ELSE value / 100 END + 1e-7, 4) AS rate, round(value * user_id + 1e-7, 4) AS inter FROM (SELECT *, value - 40 AS v FROM events)",
     "order_statistics": "WITH q AS (SELECT o_orderpriority, min(o_totalprice) AS low, quantile_cont(o_totalprice, 0.25) AS p25, quantile_cont(o_totalprice, 0.5) AS median, quantile_cont(o_totalprice, 0.75) AS p75, max(o_totalprice) AS high, quantile_cont(o_totalprice, 0.99) AS p99 FROM orders GROUP BY 1) SELECT o_orderpriority, low, high, round(p25 + 1e-7, 4) AS p25, round(median + 1e-7, 4) AS median, round(p75 + 1e-7, 4) AS p75, round(p99 + 1e-7, 4) AS p99, round(p75 - p25 + 1e-7, 4) AS iqr, round(high - low + 1e-7, 4) AS full_spread, round((p75 + p25 - 2 * median) / (p75 - p25) + 1e-7, 4) AS bowley, round((high - median) - (median - low) + 1e-7, 4) AS tail_asymmetry FROM q",
     "unpivot_events": "SELECT event_type, strftime(day, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT 'meeting_date' AS event_type, meeting_date AS day FROM fomc_calendar UNION ALL SELECT 'minutes_date', minutes_date FROM fomc_calendar UNION ALL SELECT 'blackout_date', blackout_date FROM fomc_calendar) WHERE day IS NOT NULL GROUP BY 1, 2",
     "pivot_first": "SELECT user_id, " + ", ".join(f"arg_min(value, (ts, event_id)) FILTER (event_type = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
@@ -178,7 +178,7 @@ ORACLES = {
     "duplicate_texts": r"SELECT trim(regexp_replace(regexp_replace(lower(sentence), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS text, count(DISTINCT id) AS n_ids, min(id) AS first_id FROM annotations WHERE sentence IS NOT NULL GROUP BY 1 HAVING count(DISTINCT id) > 1",
     "pool_minus_seeds": "SELECT DISTINCT id FROM annotations WHERE split_name = 'train' AND id NOT IN (SELECT id FROM annotations WHERE sen <> '')",
     "seeds_in_pool": "SELECT DISTINCT id, board FROM annotations WHERE split_name IN ('validation', 'test') AND id IN (SELECT id FROM annotations WHERE sen <> '')",
-    "top_uncertain": "WITH q AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS q FROM embeddings), p AS (SELECT vec_id, unnest(q) / list_sum(q) AS p FROM q) SELECT vec_id, round(-sum(CASE WHEN p > 0 THEN p * ln(p) END), 4) AS entropy FROM p GROUP BY 1 ORDER BY entropy DESC, vec_id LIMIT 20",
+    "top_uncertain": "WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS q FROM embeddings), p AS (SELECT vec_id, unnest(q) / list_sum(q) AS p FROM q) SELECT vec_id, round(-sum(CASE WHEN p > 0 THEN p * ln(p) END), 4) AS entropy FROM p GROUP BY 1 ORDER BY entropy DESC, vec_id LIMIT 20",
     "reliability": "SELECT CAST(floor(event_id % 100 / 100 * 10) AS BIGINT) AS bin, count(*) AS n, round(avg(event_id % 100 / 100) + 1e-7, 4) AS confidence, round(avg(CAST(value > 30 AS DOUBLE)) + 1e-7, 4) AS accuracy FROM events GROUP BY 1",
     "strategy_metrics": "SELECT user_id, round(avg(value - 40) / nullif(stddev_samp(value - 40), 0) * sqrt(8) + 1e-7, 4) AS sharpe, round(avg(CAST(value - 40 > 0 AS DOUBLE)) + 1e-7, 4) AS hit_rate, round(sum(value - 40) + 1e-7, 4) AS total, round(sqrt(avg((value - 40) * (value - 40))) + 1e-7, 4) AS rmse FROM events GROUP BY 1",
     "speaker_sets": "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS flags, count(DISTINCT l_suppkey) AS n_supp FROM lineitem GROUP BY 1",

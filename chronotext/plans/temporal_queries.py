@@ -68,7 +68,7 @@ def window_family(spark: SparkSession, d: str) -> DataFrame:
     e = e.withColumn("gap", F.when(F.col("event_id") % 3 == 0, F.col("value")))
     r = lambda c: F.round(c + 1e-7, 4)
     return t.percent_change(e, "gap", by, o, 12).select(
-        "event_id", r(t.diff("value", by, o)).alias("diff"), t.lead_target("value", by, o, 2).alias("lead2"), t.forward_fill("gap", by, o).alias("filled"), r("change").alias("change"),
+        "event_id", r(t.diff("value", by, o)).alias("diff"), t.lead_target("value", by, o, 2).alias("lead2"), t.forward_fill("gap", by, o).alias("filled"), r(F.col("change")).alias("change"),
         r(t.expanding_z("value", by, o)).alias("z"), r(t.expanding_centered("value", by, o)).alias("centered"), r(t.rolling_variance("value", by, o)).alias("rolling"), r(t.running_sum("value", by, o)).alias("running"), r(t.position_share(by, o)).alias("position"),
     )
 
