@@ -56,7 +56,7 @@ def factors(spark: SparkSession, d: str) -> DataFrame:
         _, load, part = m.pca(x, 0.9)
         return pd.DataFrame([(i, float(part[i]), *map(float, np.round(load[i], 6))) for i in range(len(part))])
 
-    return panel(spark, d).groupBy(F.lit(1)).applyInPandas(run, "factor int, share double, a double, b double, c double, n double")
+    return panel(spark, d).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "factor int, share double, a double, b double, c double, n double")
 
 
 QUERIES = {f.__name__: f for f in (spec_grid, stationarity, residual_fit, factors)}

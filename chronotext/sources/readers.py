@@ -56,7 +56,7 @@ def documents(spark: SparkSession, path: str, least: int = 50, one_per_day: bool
 
 def dated_texts(spark: SparkSession, path: str) -> DataFrame:
     """(day, text) of whole text files named YYYY-MM-DD.txt or with eight figures; others are left out."""
-    df = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_path"))
+    df = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     name = F.regexp_extract("file", r"(\d{4})-?(\d{2})-?(\d{2})[^/]*$", 0)
     return df.select(F.to_date(F.try_to_timestamp(F.regexp_replace(F.substring(F.regexp_replace(name, "-", ""), 1, 8), r"\D", ""), F.lit("yyyyMMdd"))).alias("day"), F.col("value").alias("text")).filter("day is not null")
 
