@@ -195,13 +195,13 @@ def fitted(documents: DataFrame, id_: str, text: str, lang: str) -> Model:
 
 
 def language_passages(documents: DataFrame, id_: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(id, seg_no, lang, confidence, start, end, named) of every passage of every text; named: the code its label names.
+    """(id, seg_no, lang, confidence, start, end, n_passages, named) of every passage of every text; named: the code its label names.
 
     Null, empty, blank and letterless texts, and texts without a run of PASSAGE_WORDS words, have no rows.
     """
     model = fitted(documents, id_, text, lang)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    names = ["seg_no", "lang", "confidence", "start", "end", "named"]
+    names = ["seg_no", "lang", "confidence", "start", "end", "n_passages", "named"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -215,28 +215,27 @@ def language_passages(documents: DataFrame, id_: str = "doc_id", text: str = "te
                     texts.extend(x for _, _, x, _ in s)
                     cuts.append(len(texts))
                 score = m.scores(texts)
-                rows, columns = [], ([], [], [], [], [])
+                rows, columns = [], ([], [], [], [], [], [])
                 for i, u in enumerate(units):
-                    for seg, (k, conf, a, e) in enumerate(passages(u, score[cuts[i] : cuts[i + 1]])):
+                    found = passages(u, score[cuts[i] : cuts[i + 1]])
+                    for seg, (k, conf, a, e) in enumerate(found):
                         rows.append(i)
-                        for c, v in zip(columns, (seg, m.languages[k], conf, a, e)):
+                        for c, v in zip(columns, (seg, m.languages[k], conf, a, e, len(found))):
                             c.append(v)
                 label = b.column(2).to_pylist()
-                kinds = (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+                kinds = (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array([language_named(label[i]) for i in rows], pa.string())], [id_, *names]
                 )
 
     kind = documents.schema[id_].dataType.simpleString()
-    return documents.select(id_, text, lang).mapInArrow(run, f"`{id_}` {kind}, seg_no int, lang string, confidence double, start int, `end` int, named string")
+    return documents.select(id_, text, lang).mapInArrow(run, f"`{id_}` {kind}, seg_no int, lang string, confidence double, start int, `end` int, n_passages int, named string")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of the documents in several languages, or in one that the label does not name."""
     found = language_passages(table(spark, sf_dir, "documents"))
-    # all rows of a document come from one row of the input, so a case is told by its passages alone
-    several = found.filter(F.col("seg_no") > 0).select("doc_id").distinct().withColumnRenamed("doc_id", "several")
-    return found.join(several, F.col("doc_id") == F.col("several"), "left").filter(F.col("several").isNotNull() | ~F.col("lang").eqNullSafe(F.col("named"))).select("doc_id", "seg_no", "lang")
+    return found.filter((F.col("n_passages") > 1) | ~F.col("lang").eqNullSafe(F.col("named"))).select("doc_id", "seg_no", "lang")
 
 
 def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
