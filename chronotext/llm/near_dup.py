@@ -43,13 +43,12 @@ def similar_sets(rows: DataFrame, id_: str, text: str, measure: sets.Measure) ->
     kept = rows.select(F.col(id_).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     plan = sets.plan_for(kept, "id", "text", measure)
     pairs = sets.candidates(kept, "text", plan)
-    near = cut_lineage(sets.xx_bits(sets.keyed(kept, "text", measure.least, ["id"]), sets.key_filter(pairs)))
-    named = near.select(*sets.NAMED).distinct()
+    named = cut_lineage(sets.xx_bits(sets.keyed(kept, "text", measure.least, []).select(*sets.NAMED), sets.key_filter(pairs)).distinct())
     apart = (F.col("key_a") != F.col("key_b")) | (F.col("content_a") < F.col("content_b"))
     close = cut_lineage(sets.close_pairs(pairs, named, named, measure).filter(apart))
-    left = sets.xx_bits(near, sets.key_filter(close.select("key_a", "key_b").union(pairs.filter("key_a = key_b"))))
-    links = cut_lineage(verified(with_texts(close, left, left), measure))
-    near = left
+    wanted = sets.key_filter(close.select("key_a", "key_b").union(pairs.filter("key_a = key_b")))
+    near = cut_lineage(sets.xx_bits(sets.keyed(kept, "text", measure.least, ["id"]), wanted))
+    links = cut_lineage(verified(with_texts(close, near, near), measure))
     return links, near.select("key", "content", "id").distinct()
 
 
