@@ -185,6 +185,7 @@ def fingerprint_pairs(rows: DataFrame, measure: sets.Measure) -> DataFrame:
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for code, key in sets.by_bucket(batches):
+            code, key, _ = sets.in_order(code, key)
             yield sets.key_pairs([np.stack(p) for p in sets.meetings(code, key, limit, cross=True) if len(p[0])])
 
     blocks = rows.mapInArrow(emit, "bucket int, block binary")
@@ -201,10 +202,10 @@ def cross_split_links(rows: DataFrame, id_: str, text: str, split: str, train: s
     kept = rows.select(F.col(id_).alias("id"), F.col(text).alias("text"), kind.cast("int").alias("kind")).dropna()
     measure = sets.Measure(t, least)
     pairs = fingerprint_pairs(kept.select("text", "kind"), measure)
-    near = cut_lineage(sets.xx_bits(sets.keyed(kept, "text", least, ["id", "kind"]), sets.key_filter(pairs)))
+    near = cut_lineage(sets.maybe_in(sets.keyed(kept, "text", least, ["id", "kind"]), sets.key_filter(pairs)))
     of = lambda k: near.filter(F.col("kind") == k)
     close = cut_lineage(sets.close_pairs(pairs, *(of(k).select(*sets.NAMED).distinct() for k in (0, 1)), measure))
-    near = sets.xx_bits(near, sets.key_filter(close))
+    near = sets.maybe_in(near, sets.key_filter(close))
     both = with_texts(close, of(0), of(1)).select("key_a", "content_a", "key_b", "content_b", "text_a", "text_b")
 
     def checked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,11 +43,12 @@ def similar_sets(rows: DataFrame, id_: str, text: str, measure: sets.Measure) ->
     kept = rows.select(F.col(id_).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     plan = sets.plan_for(kept, "id", "text", measure)
     pairs = sets.candidates(kept, "text", plan)
-    named = cut_lineage(sets.xx_bits(sets.keyed(kept, "text", measure.least, []).select(*sets.NAMED), sets.key_filter(pairs)).distinct())
+    named = cut_lineage(sets.maybe_in(sets.keyed(kept, "text", measure.least, ["id"]).select("id", *sets.NAMED), sets.key_filter(pairs)))
+    different = named.select(*sets.NAMED).distinct()
     apart = (F.col("key_a") != F.col("key_b")) | (F.col("content_a") < F.col("content_b"))
-    close = cut_lineage(sets.close_pairs(pairs, named, named, measure).filter(apart))
-    wanted = sets.key_filter(close.select("key_a", "key_b").union(pairs.filter("key_a = key_b")))
-    near = cut_lineage(sets.xx_bits(sets.keyed(kept, "text", measure.least, ["id"]), wanted))
+    close = cut_lineage(sets.close_pairs(pairs, different, different, measure).filter(apart))
+    wanted = sets.maybe_in(named, sets.key_filter(close.select("key_a", "key_b").union(pairs.filter("key_a = key_b"))))
+    near = cut_lineage(sets.keyed(sets.maybe_in(kept, sets.filter_of(wanted.select("id")), "id"), "text", measure.least, ["id"]))
     links = cut_lineage(verified(with_texts(close, near, near), measure))
     return links, near.select("key", "content", "id").distinct()
 

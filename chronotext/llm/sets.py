@@ -330,7 +330,7 @@ def pack(sig: np.ndarray, keys: np.ndarray, kind: np.ndarray, buckets: int) -> I
     """Blocks by bucket: sorted 24-bit codes (signature bits and kind) as deltas, then the keys."""
     bucket = (sig % U(buckets)).astype(np.int64)
     code = ((sig >> U(64 - CODE_BITS)).astype(np.int64) << 1) | kind
-    order = np.argsort((bucket << (CODE_BITS + 1)) | code, kind="stable")
+    order = np.argsort((bucket << (CODE_BITS + 1)) | code)
     bucket, code, keys = bucket[order], code[order], keys[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
     for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
@@ -345,12 +345,19 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)), np.frombuffer(block, "<u8", offset=4 + n)
 
 
-def meetings(code: np.ndarray, key: np.ndarray, limit: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of keys that share a signature and may be similar: kind 0 with 0 or 1, smaller key first; if cross, 0 with 1."""
-    order = np.lexsort((key, code))
+def in_order(code: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, keys, keys that occur twice under one code), sorted by code and the keys' upper bits, repeats dropped."""
+    order = np.argsort((code.astype(U) << U(40)) | (key >> U(24)))
     code, key = code[order], key[order]
     new = np.r_[True, (code[1:] != code[:-1]) | (key[1:] != key[:-1])] if len(code) else np.zeros(0, bool)
-    code, key = code[new], key[new]
+    return code[new], key[new], np.unique(key[~new])
+
+
+def meetings(code: np.ndarray, key: np.ndarray, limit: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of keys that share a signature and may be similar: kind 0 with 0 or 1, smaller key first; if cross, 0 with 1.
+
+    code, key: as in_order gives them.
+    """
     parity, size = key >> U(SIZE_BITS), (key & U(127)).astype(np.int64)
     most = int(limit.max())
     run = code >> 1
@@ -399,9 +406,19 @@ def meetings(code: np.ndarray, key: np.ndarray, limit: np.ndarray, cross: bool)
 
 
 def size_histogram(rows: DataFrame, text: str, least: int) -> dict[int, int]:
-    """Rows by number of distinct words (at most as many entries as there are sizes)."""
-    n = F.size(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))))
-    return {r["n"]: r["c"] for r in rows.select(n.alias("n")).filter(F.col("n") >= least).groupBy("n").agg(F.count("*").alias("c")).collect()}
+    """Rows by number of distinct words (at most as many entries as there are sizes), over all rows."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                if s is not None:
+                    n = len(set(WORD.findall(s.lower())))
+                    total[n] = total.get(n, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["n", "c"])
+
+    counted = rows.select(text).mapInArrow(count, "n int, c long").filter(F.col("n") >= least)
+    return {r["n"]: r["c"] for r in counted.groupBy("n").agg(F.sum("c").alias("c")).collect()}
 
 
 def plan_for(rows: DataFrame, id_: str, text: str, measure: Measure) -> Plan:
@@ -488,10 +505,7 @@ def candidates(rows: DataFrame, text: str, plan: Plan) -> DataFrame:
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for code, key in by_bucket(batches):
-            order = np.lexsort((key, code))
-            c, k = code[order], key[order]
-            again = np.flatnonzero((c[1:] == c[:-1]) & (k[1:] == k[:-1]))
-            twice = np.unique(k[again])
+            code, key, twice = in_order(code, key)
             found = [np.stack([twice, twice])]
             for a, b in meetings(code, key, limit, cross=False):
                 if len(a):
@@ -503,27 +517,30 @@ def candidates(rows: DataFrame, text: str, plan: Plan) -> DataFrame:
     return cut_lineage(met.distinct())
 
 
-def key_filter(pairs: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits over all keys in `pairs`, whatever their number (1 MB to the driver and back)."""
-    bit = F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS))
-    set_ = pairs.select(F.explode(F.array("key_a", "key_b")).alias("k")).select(F.floor(bit / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(k), {FILTER_BITS}) % 64 as int))").alias("b"))
+def filter_of(values: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits over the values of a one-column table, whatever their number (1 MB to the driver and back)."""
+    bit = F.pmod(F.xxhash64(F.col(values.columns[0])), F.lit(FILTER_BITS)).alias("bit")
+    bits = values.select(bit).select(F.floor(F.col("bit") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("b"))
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in set_.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+    for r in bits.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
         out[r["w"]] = r["b"]
     return out
 
 
-def xx_bits(keys: DataFrame, words_: np.ndarray) -> DataFrame:
-    """Rows whose column `key` may be in the filter."""
-    spark = keys.sparkSession
-    shared = spark.sparkContext.broadcast(words_)
+def key_filter(pairs: DataFrame) -> np.ndarray:
+    return filter_of(pairs.select(F.explode(F.array("key_a", "key_b")).alias("k")))
+
+
+def maybe_in(rows: DataFrame, words_: np.ndarray, column: str = "key") -> DataFrame:
+    """Rows whose column may be in the filter (all that are, and few others while the filter is not full)."""
+    shared = rows.sparkSession.sparkContext.broadcast(words_)
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bit = np.asarray(b.column("__bit"))
             yield b.filter(pa.array((shared.value[bit >> 6] >> (bit & 63)) & 1 == 1)).drop_columns(["__bit"])
 
-    return keys.withColumn("__bit", F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))).mapInArrow(kept, keys.schema)
+    return rows.withColumn("__bit", F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))).mapInArrow(kept, rows.schema)
 
 
 def keyed(rows: DataFrame, text: str, least: int, others: list[str]) -> DataFrame:

@@ -65,7 +65,7 @@ def test_both_kinds_of_bands_lose_nothing(lists):
             c, k = sets.unpack(x)
             code.append(c)
             key.append(k)
-    for a, b in sets.meetings(np.concatenate(code), np.concatenate(key), m.table(), False):
+    for a, b in sets.meetings(*sets.in_order(np.concatenate(code), np.concatenate(key))[:2], m.table(), False):
         found |= set(zip(a.tolist(), b.tolist()))
     texts = [set(sets.words(rows[i])) for i in s.rows]
     for i in range(len(texts)):
