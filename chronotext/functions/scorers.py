@@ -68,6 +68,55 @@ def dominant_topic(text: Column, words: Mapping[str, Sequence[str]] = TOPIC_WORD
     return F.when(best["n"] > 0, best["k"]).otherwise("no_topic")
 
 
+#: Rules of the pseudo-labels: (pattern, label), the first that matches decides. Examples, to be replaced by a project's own.
+LABEL_RULES = {
+    "tense": ([("will|expect|could|would|may ", "interpretive")], "descriptive"),
+    "commitment": ([("if .* were|provided that|unless", "conditional"), ("will keep|stay patient|committed", "unconditional")], "none"),
+    "risk": ([("tilted upward|upside", "skewed_upside"), ("tilted downward|downside", "skewed_downside"), ("roughly matched|balanced", "symmetric")], "na"),
+    "width": ([("unusually clouded|wide error", "elevated"), ("dissent|minority|contested", "contested")], "none"),
+}
+#: Categories of which each may count once per sentence, with the score of its first matching pattern.
+OVERRIDES = {"stance": [("further tightening could wait", -1), ("two more steps", 1)], "slack": [("slack was larger", -1), ("labour market was tight", 1)]}
+REGIMES = {"crisis": ["collapse", "flood", "embargo"], "calm": ["usual range", "held steady", "as expected"]}
+
+
+def first_label(text: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
+    """The label of the first rule that matches; null and empty texts have the default."""
+    t, out = F.lower(F.coalesce(text, F.lit(""))), None
+    for p, label in rules:
+        out = F.when(t.rlike(p), label) if out is None else out.when(t.rlike(p), label)
+    return F.lit(default) if out is None else out.otherwise(default)
+
+
+def pseudo_labels(text: Column, rules: Mapping[str, tuple] = LABEL_RULES) -> dict[str, Column]:
+    return {field: first_label(text, r, default) for field, (r, default) in rules.items()}
+
+
+def override_score(text: Column, categories: Mapping[str, Sequence[tuple[str, int]]] = OVERRIDES) -> Column:
+    out = F.lit(0)
+    for rules in categories.values():
+        out = out + F.coalesce(first_rule(text, rules), F.lit(0))
+    return out
+
+
+def combined_sentiment(rule: Column, total: Column, strong: float = 2.0) -> Column:
+    """The rule's score or the sign of the binned total (2 beyond `strong`), whichever is larger; within -2 and 2."""
+    binned = F.signum(total) * F.when(F.abs(total) >= strong, 2).otherwise(1)
+    return F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.when(F.abs(rule) >= F.abs(binned), rule.cast("double")).otherwise(binned)))
+
+
+def regime_hint(text: Column, words: Mapping[str, Sequence[str]] = REGIMES) -> Column:
+    """The regime of most hits, the first of equals; null without any."""
+    best = dominant_topic(text, words)
+    return F.nullif(best, F.lit("no_topic"))
+
+
+def dual_signal(text: Column, first: str, second: str) -> Column:
+    """Both keyword patterns occur."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return t.rlike(first) & t.rlike(second)
+
+
 def per_length(score: Column, words: Column) -> Column:
     return F.try_divide(score, F.nullif(words, F.lit(0)))
 

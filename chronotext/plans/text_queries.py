@@ -37,6 +37,17 @@ def tone_per_document(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("board", "doc_type").agg(F.count("*").alias("n"), F.sum(n).alias("net"), F.sum(F.coalesce(F.size(s.tokens(F.col("sentence"))), F.lit(0))).alias("words"))
 
 
+def pseudo_labels(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("sentence")
+    labels = [v.alias(k) for k, v in s.pseudo_labels(c).items()]
+    return _a(spark, d).select("id", *labels, s.override_score(c).alias("overrides"), s.dual_signal(c, "price|inflation", "wage|vacanc|payroll").alias("dual"), s.regime_hint(c).alias("regime"))
+
+
+def sentiment_combined(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("sentence")
+    return _a(spark, d).filter(~s.dropped(c)).select("id", s.combined_sentiment(F.coalesce(s.first_rule(c), F.lit(0)), s.proximity_score()(c)).alias("sentiment"))
+
+
 def proximity(spark: SparkSession, d: str) -> DataFrame:
     return _a(spark, d).select("id", s.proximity_score()(F.col("sentence")).alias("score"))
 
@@ -75,14 +86,18 @@ def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.join(F.broadcast(n)).select("term", "df", "tf", F.round(F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1, 6).alias("idf"))
 
 
-NAMES = [word_counts, net_tone, policy_score, pseudo_topics, tone_per_document, proximity, normalized_text, novelty, sentence_chunks, transcript_turns, boilerplate, tfidf_terms]
+NAMES = [word_counts, net_tone, policy_score, pseudo_topics, tone_per_document, pseudo_labels, sentiment_combined, proximity, normalized_text, novelty, sentence_chunks, transcript_turns, boilerplate, tfidf_terms]
 QUERIES = {f.__name__: f for f in NAMES}
 _A = "WITH a AS (SELECT DISTINCT id, sentence, board, doc_type FROM annotations), t AS (SELECT *, list_filter(list_transform(regexp_split_to_array(lower(coalesce(sentence, '')), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: regexp_replace(w, '[^a-z]', '', 'g')), lambda w: w <> '') AS k FROM a)"
 _IN = lambda words: f"len(list_filter(k, lambda w: w IN ({', '.join(repr(w) for w in words)})))"
 _P, _N = _IN(s.POSITIVE), _IN(s.NEGATIVE)
 _DROP = "(regexp_matches(lower(coalesce(sentence, '')), 'voting') AND regexp_matches(lower(coalesce(sentence, '')), 'action') OR regexp_matches(lower(coalesce(sentence, '')), 'staff memo'))"
 _HITS = [f"(len(regexp_extract_all(lower(coalesce(sentence, '')), '{'|'.join(w)}')), {-i}, '{k}')" for i, (k, w) in enumerate(s.TOPIC_WORDS.items())]
+_L = "lower(coalesce(sentence, ''))"
+_CASE = lambda rules, default: "CASE " + " ".join(f"WHEN regexp_matches({_L}, '{p}') THEN {v!r}" for p, v in rules) + f" ELSE {default!r} END"
+_REG = ["row(len(regexp_extract_all({}, '{}')), {}, '{}')".format(_L, "|".join(w), -i, k) for i, (k, w) in enumerate(s.REGIMES.items())]
 ORACLES = {
+    "pseudo_labels": _A + " SELECT id, " + ", ".join(f"{_CASE(r, dft)} AS {k}" for k, (r, dft) in s.LABEL_RULES.items()) + ", " + " + ".join(_CASE(r, 0) for r in s.OVERRIDES.values()) + f" AS overrides, regexp_matches({_L}, 'price|inflation') AND regexp_matches({_L}, 'wage|vacanc|payroll') AS dual, (SELECT CASE WHEN h[1] > 0 THEN h[3] END FROM (SELECT unnest([{', '.join(_REG)}]) AS h) ORDER BY h[1] DESC, h[2] DESC LIMIT 1) AS regime FROM a",
     "word_counts": "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda w: w <> '')) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n_chars FROM documents",
     "net_tone": f"{_A} SELECT id, {_P} AS positive, {_N} AS negative, {_P} - {_N} AS net FROM t",
     "policy_score": _A + " SELECT id, CASE " + " ".join(f"WHEN regexp_matches(lower(sentence), '{p}') THEN {v}" for p, v in s.POLICY_RULES) + f" ELSE 0 END AS policy, {_DROP} AS dropped FROM a",
