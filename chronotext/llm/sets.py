@@ -40,7 +40,7 @@ U = np.uint64
 PARITY, SIZE_BITS = 57, 7
 CODE_BITS = 23
 #: Sample of sets from which the plan is shaped, postings of one bucket, frequent signatures' cells, bits of the filter.
-SAMPLE, BUCKET_POSTINGS, CELLS, FILTER_BITS = 8_000, 1_500_000, 8, 1 << 23
+SAMPLE, BUCKET_POSTINGS, CELLS, FILTER_BITS, FILTER_SLICES = 8_000, 1_500_000, 8, 1 << 23, 64
 
 
 #: What names a set (key and content hash) and bounds its difference from others (wide parity).
@@ -518,13 +518,36 @@ def candidates(rows: DataFrame, text: str, plan: Plan) -> DataFrame:
 
 
 def filter_of(values: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits over the values of a one-column table, whatever their number (1 MB to the driver and back)."""
+    """A filter of FILTER_BITS bits over the values of a one-column table, whatever their number (1 MB to the driver and back).
+
+    Each task sets its bits and sends them compressed, in FILTER_SLICES slices that are united before the driver has them.
+    """
+    size = FILTER_BITS // FILTER_SLICES
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for b in batches:
+            bits[np.asarray(b.column(0))] = True
+        yield slices({i: np.packbits(part) for i in range(FILTER_SLICES) if (part := bits[i * size : (i + 1) * size]).any()})
+
+    def unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                part = np.frombuffer(zlib.decompress(block), np.uint8)
+                held[i] = held[i] | part if i in held else part
+        yield slices(held)
+
+    def slices(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts.values()], pa.binary())], ["slice", "block"])
+
+    kind = "slice int, block binary"
     bit = F.pmod(F.xxhash64(F.col(values.columns[0])), F.lit(FILTER_BITS)).alias("bit")
-    bits = values.select(bit).select(F.floor(F.col("bit") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("b"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in bits.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        out[r["w"]] = r["b"]
-    return out
+    marked = values.select(bit).mapInArrow(mark, kind).repartition("slice").mapInArrow(unite, kind)
+    out = np.zeros(FILTER_BITS, bool)
+    for r in marked.collect():
+        out[r["slice"] * size : (r["slice"] + 1) * size] = np.unpackbits(np.frombuffer(zlib.decompress(r["block"]), np.uint8)).view(bool)
+    return np.packbits(out, bitorder="little").view("<i8")
 
 
 def key_filter(pairs: DataFrame) -> np.ndarray:

@@ -133,3 +133,11 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(e, "u string, v string")).collect()}
     assert got["c"] == "a" and got["y"] == "x" and {got[f"p{i:02}"] for i in range(41)} == {"p00"} and "q" not in got
     assert components(spark.createDataFrame([], "u string, v string")).count() == 0
+
+
+def test_filter_lets_all_its_values_pass(spark):
+    df = spark.range(3000).withColumnRenamed("id", "key").repartition(5)
+    words = sets.filter_of(df.filter("key % 10 = 0"))
+    got = {r["key"] for r in sets.maybe_in(df, words).collect()}
+    assert got >= set(range(0, 3000, 10)) and len(got) < 330
+    assert sets.maybe_in(df, sets.filter_of(df.limit(0))).count() == 0
