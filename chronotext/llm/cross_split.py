@@ -2,9 +2,9 @@
 
 Each sentence selects, in every window of WINDOW word grams, the gram of the smallest rolling hash: any run of
 GRAM + WINDOW - 1 words shared by two sentences leaves a common fingerprint. Grams that are frequent in the corpus
-(stock phrases) are first made longer, which depends on their words alone, so that a run must then hold the longer gram.
-Fingerprints of training records meet those
-of evaluation records only. What meets is bounded by the keys of `sets` before texts are fetched; then the common grams
+(stock phrases, groups of near-copies) are chosen only where a window has no rarer one, which depends on their words
+alone; the most frequent are spread over a grid of cells in which every pair still meets. Fingerprints of training records
+meet those of evaluation records only. What meets is bounded by the keys of `sets` before texts are fetched; then the common grams
 of a pair are chained (the longest run of seeds in the order of both texts), extended word by word, and the covered share
 of the evaluation record is reported. The exact similarity of the word sets decides last.
 """
@@ -27,9 +27,9 @@ from chronotext.session import cut_lineage, shuffle_partitions, table
 
 GRAM, WINDOW = 3, 3
 U = np.uint64
-#: Postings a sentence leaves on average, for the number of buckets; size of the table of gram counts; share of the
-#: sentences from which on a gram is frequent, and the count below which none is.
-PER_ROW, SLOT_BITS, OFTEN, LEAST_OFTEN = 20, 18, 5e-4, 64
+#: Postings a sentence leaves on average, for the number of buckets; size of the table of gram counts; shares of the
+#: sentences from which on a gram is frequent and is spread over cells, and the count below which none is.
+PER_ROW, SLOT_BITS, OFTEN, SPREAD, LEAST_OFTEN = 20, 18, 5e-4, 5e-3, 64
 
 
 class Grams:
@@ -58,21 +58,15 @@ def slot(gram: np.ndarray) -> np.ndarray:
 
 
 def winnow(flat: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, often: np.ndarray | None = None, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, owner) of word sequences. `often`: by slot, whether its grams are frequent; a frequent gram is
-    doubled, and once more, up to the end of its sequence. Shorter grams win over longer ones, then the smaller hash.
+    """(fingerprint, owner) of word sequences. `often`: by slot, how frequent its grams are (0 to 3); rarer grams win over
+    more frequent ones, then the smaller hash.
     A sequence shorter than a gram leaves none; one of fewer grams than a window leaves its smallest."""
     g = Grams(flat, sizes, hashes)
     at = g.starts(gram)
     if not len(at):
         return np.zeros(0, U), np.zeros(0, np.int64)
-    value, level = g.run(at, gram), np.zeros(len(at), U)
-    if often is not None:
-        hot = often[slot(value)]
-        for i in (1, 2):
-            length = np.minimum(gram << i, g.left[at[hot]])
-            value[hot], level[hot] = g.run(at[hot], length), i
-            again = (g.left[at[hot]] >= gram << i) & often[slot(value[hot])]
-            hot = np.flatnonzero(hot)[again] if hot.dtype == bool else hot[again]
+    value = g.run(at, gram)
+    level = np.zeros(len(at), U) if often is None else often[slot(value)].astype(U)
     rank, own, m = (value >> U(2)) | (level << U(62)), g.owner[at], len(at)
     best = np.arange(m)
     for i in range(1, window):  # the last smallest of the window that starts here, within one sequence
@@ -102,23 +96,28 @@ def read_sequences(texts: list[str], least: int, vocabulary: sets.Vocabulary) ->
     return tuple(np.array(x, np.int64) for x in (rows, flat, sizes, distinct, counts))
 
 
+def cross_cells(kind: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, cell): each posting goes to a row (training) or a column (evaluation) of the grid; every pair across meets in one cell."""
+    n = sets.CELLS
+    mine, other = np.repeat((sets.mix(keys) % U(n)).astype(np.int64), n), np.tile(np.arange(n), len(keys))
+    return np.repeat(np.arange(len(keys)), n), np.where(np.repeat(kind, n) == 0, mine * n + other, other * n + mine)
+
+
 def frequent_slots(rows: DataFrame, least: int) -> tuple[np.ndarray, int]:
-    """(which slots of grams are frequent, number of sentences), counted over all rows (text).
+    """(how frequent the grams of each slot are, number of sentences), counted over all rows (text).
 
-    A fixed table of 2**SLOT_BITS counts of the grams of GRAM and 2 * GRAM words; frequent: in more than OFTEN of the
-    sentences beyond what chance puts into a slot.
+    A fixed table of 2**SLOT_BITS counts of the grams of GRAM words. 1, 2: in more than OFTEN, SPREAD of the sentences
+    beyond what chance puts into a slot.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, total, n, grams = sets.Vocabulary(), np.zeros(1 << SLOT_BITS, np.int64), 0, 0
+        vocabulary, total, n = sets.Vocabulary(), np.zeros(1 << SLOT_BITS, np.int64), 0
         for batch in batches:
             vocabulary.bounded()
             _, flat, sizes, _, _ = read_sequences(batch.column(0).to_pylist(), least, vocabulary)
             if len(sizes):
                 g = Grams(flat, sizes, vocabulary.grown())
-                for length in (GRAM, 2 * GRAM):
-                    at = g.starts(length)
-                    total += np.bincount(slot(g.run(at, length)), minlength=1 << SLOT_BITS)
+                total += np.bincount(slot(g.run(g.starts(GRAM), GRAM)), minlength=1 << SLOT_BITS)
                 n += len(sizes)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[used, -1].astype(np.int32)), pa.array(np.r_[total[used], n])], ["slot", "n"])
@@ -129,7 +128,7 @@ def frequent_slots(rows: DataFrame, least: int) -> tuple[np.ndarray, int]:
             n = r["n"]
         else:
             total[r["slot"]] = r["n"]
-    return total > max(OFTEN * n, LEAST_OFTEN) + 2 * total.mean(), n
+    return sum((total > max(share * n, LEAST_OFTEN) + 2 * total.mean()).astype(np.uint8) for share in (OFTEN, SPREAD)), n
 
 
 def aligned(a: list[str], b: list[str], gram: int = GRAM) -> tuple[int, int]:
@@ -178,7 +177,11 @@ def fingerprint_pairs(rows: DataFrame, measure: sets.Measure) -> DataFrame:
                 h = vocabulary.grown()
                 keys = sets.keys_of(h[distinct], np.cumsum(counts) - counts, counts)
                 sig, owner = winnow(flat, sizes, h, often)
-                out = list(sets.pack(sig, keys[owner], np.asarray(batch.column(1))[at][owner].astype(np.int64), buckets))
+                key, kind, hot = keys[owner], np.asarray(batch.column(1))[at][owner].astype(np.int64), often[slot(sig)] > 1
+                place, cell = cross_cells(kind[hot], key[hot])
+                sig = np.concatenate([sig[~hot], sets.mix(sig[hot][place] + cell.astype(U))])
+                key, kind = (np.concatenate([x[~hot], x[hot][place]]) for x in (key, kind))
+                out = list(sets.pack(sig, key, kind, buckets))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "block"])
 
     limit = measure.table()

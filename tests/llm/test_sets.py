@@ -128,6 +128,24 @@ def test_cross_split(spark):
     assert all(0 < l["coverage"] <= 1 for l in links.collect())
 
 
+def test_cross_split_in_a_hot_group_with_spread_edits(spark):
+    r, base = random.Random(3), [f"w{i}" for i in range(20)]
+    rows = [("t0", " ".join(base)), ("v0", " ".join(f"x{i}" if i in (10, 18) else w for i, w in enumerate(base)))]
+    for i in range(1, 200):
+        at = r.sample(range(20), r.choice([0, 1, 1, 2, 3]))
+        rows.append((f"{'tv'[i % 2]}{i}", " ".join(f"y{i}x{j}" if j in at else w for j, w in enumerate(base))))
+    df = spark.createDataFrame([(i, s, "train" if i[0] == "t" else "test") for i, s in rows], "id string, sentence string, split string")
+    # the group is hot: most of its grams are frequent
+    assert (cross_split.frequent_slots(df.selectExpr("sentence AS text"), 12)[0] > 0).sum() >= 15
+    links, members = cross_split.cross_split_links(df, "id", "sentence", "split", "train", ["validation", "test"])
+    ids = {}
+    for m in members.collect():
+        ids.setdefault((m["kind"], m["key"], m["content"]), []).append(m["id"])
+    got = {(a, b) for l in links.collect() for a in ids[0, l["key_a"], l["content_a"]] for b in ids[1, l["key_b"], l["content_b"]]}
+    assert ("t0", "v0") in got
+    assert got == {(a, b) for a, b in wanted(rows) if a[0] == "t" and b[0] == "v"}
+
+
 def test_components(spark):
     e = [("a", "b"), ("b", "c"), ("x", "y"), ("c", "c"), ("a", "b"), (None, "q"), ("z", None)] + [(f"p{i:02}", f"p{i + 1:02}") for i in range(40)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(e, "u string, v string")).collect()}
