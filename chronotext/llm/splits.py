@@ -11,8 +11,8 @@ from chronotext.llm.components import components
 from chronotext.session import cut_lineage, table
 
 SEED = 42
-#: Longest table of reachable totals on the driver; beyond, sizes are rounded to a unit and small ones fill the rest.
-MOST_CELLS = 1 << 22
+#: Longest table of reachable totals on the driver; beyond, sizes are rounded to a unit and the rest is made up by true size.
+MOST_CELLS = 1 << 26
 
 
 def document_name(source: Column) -> Column:
@@ -66,9 +66,10 @@ def with_component(rows: DataFrame, id_: str, source: str, board: str, date: str
 def closest(sizes: dict[int, int], target: float) -> dict[int, int]:
     """How many components of each size to take so that their total is closest to `target`.
 
-    The reachable totals are a bitset to which each size is added in powers of two of its multiplicity; for each total
-    the item that first reached it is kept, which gives the choice back. Exact up to MOST_CELLS; beyond that the sizes
-    of a unit and more are chosen in units, and smaller ones fill what is left.
+    The reachable totals are a packed bitset to which each size is added in powers of two of its multiplicity; for each
+    total the item that first reached it is kept, which gives the choice back. Exact up to MOST_CELLS; beyond that the
+    sizes of a unit and more are chosen in units, and components are given back or added by their true size until the
+    rest is smaller than the smallest component left.
     """
     whole = sum(s * c for s, c in sizes.items())
     reach = min(whole, int(target + min(max(sizes, default=0), target + 1)))
@@ -82,27 +83,39 @@ def closest(sizes: dict[int, int], target: float) -> dict[int, int]:
             k *= 2
     top = reach // unit
     first = np.full(top + 1, -1, np.int32)
-    ok = np.zeros(top + 1, bool)
-    ok[0] = True
+    ok, cells = 1, (1 << (top + 1)) - 1
+    nearest = min(top, round(target / unit))
     for i, (_, _, w) in enumerate(items):
-        if 0 < w <= top:
-            new = np.zeros(top + 1, bool)
-            new[w:] = ok[: top + 1 - w]
-            new &= ~ok
-            first[new] = i
-            ok |= new
-    sums = np.flatnonzero(ok)
-    if unit > 1:
-        sums = sums[sums * unit <= target] if (sums * unit <= target).any() else sums
-    at = int(sums[np.abs(sums * unit - target).argmin()])
+        if 0 < w <= top and not ok >> nearest & 1:
+            both = (ok | ok << w) & cells
+            new = np.frombuffer((both ^ ok).to_bytes(top // 8 + 1, "little"), np.uint8)
+            for begin in range(0, len(new), 1 << 20):  # a slice at a time, for the driver's memory
+                at = begin + np.flatnonzero(new[begin : begin + (1 << 20)])
+                bits = np.flatnonzero(np.unpackbits(new[at], bitorder="little"))
+                first[at[bits >> 3] * 8 + (bits & 7)] = i
+            ok = both
+    mark = min(top, int(target // unit))
+    below, above = (ok & ((1 << (mark + 1)) - 1)).bit_length() - 1, ok >> (mark + 1)
+    ends = [below, *([mark + (above & -above).bit_length()] if above else [])]
+    at = min(ends, key=lambda x: abs(x * unit - target))
     taken: dict[int, int] = {}
     while at > 0:
         s, k, w = items[first[at]]
         taken[s] = taken.get(s, 0) + k
         at -= w
+    if unit == 1:
+        return taken
     rest = target - sum(s * c for s, c in taken.items())
-    for s in sorted((s for s in sizes if s < unit), reverse=True):
-        k = min(sizes[s], int(max(0, rest) // s))
+    for s in sorted(taken, reverse=True):  # give back
+        k = min(taken[s], int(max(0, -rest) // s))
+        taken[s] -= k
+        rest += k * s
+    back = min((s for s, c in taken.items() if c), default=0)
+    if rest < 0 and abs(rest + back) < -rest:
+        taken[back] -= 1
+        rest += back
+    for s in sorted(sizes, reverse=True):  # add
+        k = min(sizes[s] - taken.get(s, 0), int(max(0, rest) // s))
         taken[s] = taken.get(s, 0) + k
         rest -= k * s
     return taken

@@ -74,6 +74,17 @@ def test_rounded_totals(monkeypatch):
     assert abs(sum(s * c for s, c in got.items()) - 700) <= 20
 
 
+def test_totals_are_exact_beyond_four_million():
+    got = splits.closest({4: 5_000_000, 10_000_000: 1}, 4_500_000)
+    assert sum(s * c for s, c in got.items()) == 4_500_000
+
+
+def test_rounded_totals_give_back(monkeypatch):
+    monkeypatch.setattr(splits, "MOST_CELLS", 50)
+    got = splits.closest({4: 500, 1000: 1}, 450)
+    assert abs(sum(s * c for s, c in got.items()) - 450) <= 2 and got.get(4, 0) <= 500
+
+
 def test_grouped_splits(spark):
     r = random.Random(5)
     rows = [(f"i{i}", r.choice(["a.html", " A.HTML", "b.pdf", "c", "d", None]) if i % 3 else None, r.choice(["x", "y", None]), r.choice(["20200101", "2020-01-02", "", None]), 7) for i in range(200)] + [(f"s{i}", f"own{i}", "z", None, 7) for i in range(100)]
