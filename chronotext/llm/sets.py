@@ -256,8 +256,11 @@ def make_plan(measure: Measure, histogram: dict[int, int], sample: list[str], fi
     order = np.argsort(hashes)
     known, df = hashes[order], np.bincount(sets.flat, minlength=len(hashes))[order]
     sizes = np.array(sorted(n for n in histogram if n >= measure.least), np.int64)
-    if not len(sizes) or not len(sets.sizes):
+    if not len(sizes):
         return Plan(measure, [], known, df, 1)
+    if not len(known):  # no word is known; all are grouped by their hash
+        known, df, hashes = np.zeros(1, U), np.zeros(1, np.int64), np.zeros(1, U)
+    sampled = max(1, len(sets.sizes))
     counts = np.array([histogram[n] for n in sizes], float)
     fits = np.minimum.outer(sizes, sizes) * measure.t.denominator >= np.maximum.outer(sizes, sizes) * measure.t.numerator
     total = np.add.outer(sizes, sizes)
@@ -270,7 +273,7 @@ def make_plan(measure: Measure, histogram: dict[int, int], sample: list[str], fi
     edges = sorted({*edges, top})
     here = places(known, hashes)
     flat_hash, flat_place = hashes[sets.flat], here[sets.flat]
-    scale = (counts.sum() / len(sets.sizes)) ** 2
+    scale = (counts.sum() / sampled) ** 2
     trial: dict[int, tuple[np.ndarray, float]] = {}
 
     def groups_for(g: int) -> tuple[np.ndarray, float]:
@@ -313,7 +316,7 @@ def make_plan(measure: Measure, histogram: dict[int, int], sample: list[str], fi
         s, _, _ = signatures(part := sets.take(keep), hashes[part.flat], plan, here[part.flat], i)
         u, c = np.unique(s, return_counts=True)
         b.hot = u[c > max(50, 0.02 * len(sets.sizes))]
-        postings += len(s) * counts.sum() / len(sets.sizes)
+        postings += len(s) * counts.sum() / sampled
     plan.buckets = max(fixed_buckets, int(postings / BUCKET_POSTINGS) + 1)
     return plan
 
@@ -422,8 +425,19 @@ def size_histogram(rows: DataFrame, text: str, least: int) -> dict[int, int]:
 
 
 def plan_for(rows: DataFrame, id_: str, text: str, measure: Measure) -> Plan:
-    sample = [r[0] for r in rows.filter(F.length(text) > 20).select(text, F.xxhash64(id_, text).alias("h")).orderBy("h").limit(SAMPLE).collect()]
-    return make_plan(measure, size_histogram(rows, text, measure.least), sample, shuffle_partitions(rows.sparkSession))
+    histogram = size_histogram(rows, text, measure.least)
+    enough = lambda s: s is not None and len(set(words(s))) >= measure.least
+    draw = lambda some: [r[0] for r in some.select(text, F.xxhash64(id_, text).alias("h")).orderBy("h").limit(SAMPLE).collect() if enough(r[0])]
+
+    def long_enough(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([enough(s) for s in b.column(text).to_pylist()], pa.bool_()))
+
+    sample = draw(rows.filter(F.length(text) > 20))
+    if len(sample) < min(SAMPLE, sum(histogram.values())) // 2:  # such rows are rare: drawn from them alone
+        few = rows.select(id_, text)
+        sample = draw(few.mapInArrow(long_enough, few.schema))
+    return make_plan(measure, histogram, sample, shuffle_partitions(rows.sparkSession))
 
 
 def postings(batches: Iterable[pa.RecordBatch], plan: Plan, block: int = 16_384) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronotext.llm import cross_split, near_dup, sets
@@ -83,6 +84,18 @@ def test_hot_group_of_copies_and_hot_signature(spark):
     assert len({r["id"] for r in groups}) == len(groups) and {r["id"] for r in groups} >= {f"c{i:03}" for i in range(60)} | {"e"}
 
 
+def test_rare_long_rows_are_sampled(spark, monkeypatch):
+    monkeypatch.setattr(sets, "SAMPLE", 5)
+    a = " ".join(VOCAB[:20])
+    rows = [(f"h{i:03}", f"a headline of few words number {i}") for i in range(300)] + [("x", a), ("y", a.replace("w5 ", "q "))]
+    df = spark.createDataFrame(rows, "id string, sentence string")
+    assert {tuple(r) for r in near_dup.near_duplicate_pairs(df).collect()} == {("x", "y")}
+    plan = sets.make_plan(sets.Measure(Fraction(7, 10), 12), {20: 2}, [], 3)
+    assert plan.bands
+    out = next(sets.postings([pa.RecordBatch.from_arrays([pa.array([a])], ["t"])], plan))
+    assert out.num_rows > 1
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id string, sentence string")
     assert near_dup.near_duplicate_pairs(df).count() == 0 and near_dup.near_duplicate_groups(df).count() == 0
