@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,31 +93,53 @@ def cheapest_flow(patterns: dict[tuple[str, ...], int], quotas: dict[str, int],
     return {k: room[e ^ 1] for k, e in arcs.items() if room[e ^ 1] > 0}
 
 
-def mixed(documents: DataFrame, targets: DataFrame, seed: int = SEED, **columns: str) -> tuple[DataFrame, DataFrame, int]:
-    """(mix, sizes, whole). mix: id, source, copies, tokens; sizes: tokens by source; whole: tokens of all documents.
+def quota_of(weight: float, whole: int) -> int:
+    """The fewest whole tokens that reach the weight."""
+    return math.ceil(weight * whole)
+
+
+@dataclass
+class Mix:
+    """rows: id, source, copies, tokens. size, routed: tokens by source, of its documents and through the flow. whole: tokens of all documents."""
+
+    rows: DataFrame
+    size: dict[str, int]
+    routed: dict[str, int]
+    whole: int
+
 
-    A document is a text: copies of a text under several ids or sources are one, which any of its sources may use, at
-    most max_repeats times through a source; the smallest id stands for it. Texts are aggregated by the set of
-    sources that hold them (at most 2**sources sets, in practice a few per source), the flow is solved over these sets,
-    and each set's documents, in a seeded order, are cut at the routed token totals.
+def mix_of(documents: DataFrame, targets: DataFrame, seed: int = SEED, **columns: str) -> Mix:
+    """A document is an id (with its text): equal texts under several ids are as many documents, rows repeated under one
+    id are one. An id that several sources hold may be used by any of them, at most max_repeats times through a source.
+    Documents are aggregated by the set of sources that hold them (at most 2**sources sets, in practice one per source),
+    the flow is solved over these sets, and each set's documents, in a seeded order, are cut at the routed token totals.
+    So no source can be given more than max_repeats times its size, and one source's room is exactly that.
     """
     wanted = read_targets(targets)
     rows = cut_lineage(sized(documents, targets, **columns))
-    sizes = rows.groupBy("source").agg(F.sum("tokens").alias("size"))
-    size_of = {r["source"]: r["size"] for r in sizes.collect()}
-    whole = sum(size_of.values())
-    texts = rows.groupBy("text_key").agg(F.min("id").alias("id"), F.max("tokens").alias("tokens"), F.array_join(F.array_sort(F.collect_set("source")), "\x1f").alias("pattern"))
-    patterns = {tuple(r["pattern"].split("\x1f")): r["n"] for r in texts.groupBy("pattern").agg(F.sum("tokens").alias("n")).collect()}
-    flow = cheapest_flow(patterns, {s: round(w * whole) for s, (w, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()})
+    held = rows.groupBy("id", "text_key").agg(F.max("tokens").alias("tokens"), F.array_join(F.array_sort(F.collect_set("source")), "\x1f").alias("pattern"))
+    patterns = {tuple(r["pattern"].split("\x1f")): r["n"] for r in held.groupBy("pattern").agg(F.sum("tokens").alias("n")).collect()}
+    size = {s: sum(n for p, n in patterns.items() if s in p) for s in sorted({s for p in patterns for s in p})}
+    whole = sum(patterns.values())
+    flow = cheapest_flow(patterns, {s: quota_of(w, whole) for s, (w, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()})
+    routed: dict[str, int] = dict.fromkeys(wanted, 0)
+    for (_, _, s), n in flow.items():
+        routed[s] += n
     cuts, at = [], {}
     for (p, use, s), n in sorted(flow.items()):
         low = at.get((p, use), 0)
         cuts.append(("\x1f".join(p), s, low, low + n))
         at[p, use] = low + n
     ranges = documents.sparkSession.createDataFrame(cuts, "pattern string, source string, low long, high long")
-    placed = permuted_position(texts, ["pattern"], ["text_key"], seed, F.col("tokens"))
+    placed = permuted_position(held, ["pattern"], ["id", "text_key"], seed, F.col("tokens"))
     chosen = placed.join(ranges, "pattern").filter((F.col("before") >= F.col("low")) & (F.col("before") < F.col("high")))
-    return chosen.groupBy("id", "source", "tokens").agg(F.count("*").alias("copies")), sizes, whole
+    return Mix(chosen.groupBy("id", "text_key", "source", "tokens").agg(F.count("*").alias("copies")).drop("text_key"), size, routed, whole)
+
+
+def mixed(documents: DataFrame, targets: DataFrame, seed: int = SEED, **columns: str) -> tuple[DataFrame, DataFrame, int]:
+    """(mix, sizes, whole) of mix_of; sizes: source, size."""
+    mix = mix_of(documents, targets, seed, **columns)
+    return mix.rows, documents.sparkSession.createDataFrame(list(mix.size.items()), "source string, size long"), mix.whole
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

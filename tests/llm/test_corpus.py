@@ -142,6 +142,18 @@ def test_mixing(spark):
     assert mixing.mixed(df.limit(0), targets)[0].count() == 0
 
 
+def test_mixing_counts_each_id_of_a_text(spark):
+    docs = [(i, "the same few words", "a") for i in range(6)] + [(10 + i, f"other words {i} here", "b") for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, weight double, max_repeats int")
+    mix, sizes, whole = mixing.mixed(df, targets)
+    got = {}
+    for r in mix.collect():
+        got[r["source"]] = got.get(r["source"], 0) + r["tokens"] * r["copies"]
+        assert r["copies"] <= 2
+    assert got["a"] >= whole / 2 and got["b"] >= whole / 2
+
+
 EN = "The committee noted that prices rose faster than expected during the last quarter of the year. "
 FR = "Le comité a constaté que les prix ont augmenté plus vite que prévu au cours du dernier trimestre. "
 DE = "Der Ausschuss stellte fest, dass die Preise im letzten Quartal schneller gestiegen sind als erwartet. "
