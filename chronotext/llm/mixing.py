@@ -146,14 +146,26 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
 
 
+def source_report(documents: DataFrame, targets: DataFrame, **columns: str) -> list[tuple]:
+    """(source, weight, max_repeats, size, quota, tokens, share, short, lacking) per target, from the mix as drawn.
+
+    short: the flow could route less than the quota. lacking: of these, the sources whose documents are too few whatever
+    else is routed, max_repeats x size < weight x whole (one that shares documents may be short and not lacking).
+    """
+    mix = mix_of(documents, targets, **columns)
+    got = {r["source"]: r["n"] for r in mix.rows.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
+    total, out = sum(got.values()), []
+    for s, (w, r) in sorted(read_targets(targets).items()):
+        size, quota, tokens = mix.size.get(s, 0), quota_of(w, mix.whole), got.get(s, 0)
+        short = mix.routed[s] < quota
+        out.append((s, w, r, size, quota, tokens, round(tokens / total, 6) if total else None, short, short and r * size < w * mix.whole))
+    return out
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, targets = _tables(spark, sf_dir)
-    wanted = read_targets(targets)
-    size_of = {r["source"]: r["size"] for r in sized(documents, targets).groupBy("source").agg(F.sum("tokens").alias("size")).collect()}
-    whole = sum(size_of.values())
     given = {r["s"]: r["source"] for r in targets.select("source", source_name("source").alias("s")).collect()}
-    short = [(given[s],) for s, (w, r) in sorted(wanted.items()) if r * size_of.get(s, 0) < w * whole]
-    return spark.createDataFrame(short, "source string")
+    return spark.createDataFrame([(given[r[0]],) for r in source_report(documents, targets) if r[-1]], "source string")
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,12 +174,7 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: its size, the tokens asked for and reached, and the shares of the mix."""
-    documents, targets = _tables(spark, sf_dir)
-    mix, sizes, whole = mixed(documents, targets)
-    got = {r["source"]: r["n"] for r in mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
-    size_of = {r["source"]: r["size"] for r in sizes.collect()}
-    total = sum(got.values())
-    rows = [(s, w, r, size_of.get(s, 0), round(w * whole), got.get(s, 0), round(got.get(s, 0) / total, 6) if total else None, r * size_of.get(s, 0) < w * whole) for s, (w, r) in sorted(read_targets(targets).items())]
+    rows = [r[:-1] for r in source_report(*_tables(spark, sf_dir))]
     return spark.createDataFrame(rows, "source string, weight double, max_repeats int, size long, quota long, tokens long, share double, short boolean")
 
 

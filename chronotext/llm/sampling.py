@@ -139,10 +139,24 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
     return usable_records(table(spark, sf_dir, "annotations")), read_targets(table(spark, sf_dir, "sample_targets"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, targets = _inputs(spark, sf_dir)
+def target_report(records: DataFrame, targets: list) -> list[tuple]:
+    """(field_name, category, as_given, share, wanted, available, drawn, share_drawn, short, lacking) per target, from the sample as drawn.
+
+    short: fewer were drawn than wanted. lacking: of these, the categories with fewer usable records than wanted.
+    """
     usable, available = category_counts(records, targets)
-    short = [(t["field_name"], t["as_given"]) for t in targets if available[t["field_name"], t["category"]] < wanted_number(t["share"], t["min_n"], usable // FRACTION)]
+    drawn_n, drawn = category_counts(proportional_sample(records, targets), targets)
+    out = []
+    for t in targets:
+        k = (t["field_name"], t["category"])
+        want = wanted_number(t["share"], t["min_n"], usable // FRACTION)
+        short = drawn[k] < want
+        out.append((*k, t["as_given"], float(t["share"]), want, available[k], drawn[k], round(drawn[k] / drawn_n, 6) if drawn_n else None, short, short and available[k] < want))
+    return out
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = [(r[0], r[2]) for r in target_report(*_inputs(spark, sf_dir)) if r[-1]]
     return spark.createDataFrame(short, "field_name string, category string")
 
 
@@ -152,15 +166,8 @@ def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per target: wanted, available and drawn records, and whether the target is met."""
-    records, targets = _inputs(spark, sf_dir)
-    usable, available = category_counts(records, targets)
-    drawn_n, drawn = category_counts(proportional_sample(records, targets), targets)
-    out = []
-    for t in targets:
-        k = (t["field_name"], t["category"])
-        want = wanted_number(t["share"], t["min_n"], usable // FRACTION)
-        out.append((*k, float(t["share"]), want, available[k], drawn[k], round(drawn[k] / drawn_n, 6) if drawn_n else None, available[k] < want))
+    """Per target: wanted, available and drawn records, and whether fewer were drawn than wanted."""
+    out = [(*r[:2], *r[3:-1]) for r in target_report(*_inputs(spark, sf_dir))]
     return spark.createDataFrame(out, "field_name string, category string, share double, wanted long, available long, drawn long, share_drawn double, short boolean")
 
 

@@ -121,6 +121,15 @@ def test_sampling(spark):
     assert sampling.proportional_sample(records.limit(0), targets).count() == 0
 
 
+def test_report_of_what_was_drawn(spark):
+    rows = [(f"s{i}", "speech", ["housing"] if i < 100 else ["macro"]) for i in range(250)] + [(f"m{i}", "minutes", ["macro"]) for i in range(250)]
+    records = sampling.usable_records(spark.createDataFrame(rows, "id string, doc_type string, top array<string>"))
+    targets = [{"field_name": f, "category": c, "as_given": c, "share": s, "min_n": m} for f, c, s, m in [("doc_type", "minutes", 0.5, 1), ("doc_type", "speech", 0.5, 1), ("top", "housing", 0.4, 1), ("top", "macro", 0.6, 1), ("top", "wages", 0.1, 5)]]
+    got = {r[1]: r for r in sampling.target_report(records, targets)}
+    assert got["housing"][5] == 100 and got["housing"][6] < got["housing"][4] == 40 and got["housing"][-2:] == (True, False)
+    assert got["wages"][-2:] == (True, True) and got["speech"][-2:] == (False, False)
+
+
 def test_flow_prefers_fewer_repeats():
     flow = mixing.cheapest_flow({("a",): 10, ("a", "b"): 10, ("b",): 5}, {"a": 15, "b": 15}, {"a": 1, "b": 2})
     got = {s: sum(n for (_, _, t), n in flow.items() if t == s) for s in "ab"}
@@ -152,6 +161,16 @@ def test_mixing_counts_each_id_of_a_text(spark):
         got[r["source"]] = got.get(r["source"], 0) + r["tokens"] * r["copies"]
         assert r["copies"] <= 2
     assert got["a"] >= whole / 2 and got["b"] >= whole / 2
+    assert {r[0]: (r[-2], r[-1]) for r in mixing.source_report(df, targets)} == {"a": (False, False), "b": (False, False)}
+
+
+def test_source_report_follows_the_flow(spark):
+    docs = [(1, "one two three four", "a"), (2, "one two three five", "a"), (2, "one two three five", "b"), (3, "six seven eight nine", "c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.9, 1), ("b", 0.3, 1), ("c", 0.2, 1)], "source string, weight double, max_repeats int")
+    rows = {r[0]: r for r in mixing.source_report(df, targets)}
+    assert rows["a"][-2:] == (True, True) and rows["c"][-2:] == (False, False)
+    assert rows["a"][5] <= rows["a"][3] and rows["b"][5] <= rows["b"][3]
 
 
 EN = "The committee noted that prices rose faster than expected during the last quarter of the year. "
