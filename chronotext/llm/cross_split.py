@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.llm import sets
-from chronotext.llm.near_dup import LEAST_WORDS, SIMILARITY, with_texts
+from chronotext.llm.near_dup import LEAST_WORDS, SIMILARITY
 from chronotext.session import cut_lineage, shuffle_partitions, table
 
 GRAM, WINDOW = 3, 3
@@ -195,10 +195,22 @@ def fingerprint_pairs(rows: DataFrame, measure: sets.Measure) -> DataFrame:
     return cut_lineage(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key_a long, key_b long").distinct())
 
 
+def with_sequence(rows: DataFrame) -> DataFrame:
+    """rows with `seq`, the hash of the text's words in their order (a set may be held in several orders)."""
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seq = np.array([sets._hash(" ".join(sets.words(s))) for s in b.column("text").to_pylist()], U)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seq.view(np.int64))], [*b.schema.names, "seq"])
+
+    return rows.mapInArrow(add, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", seq long")
+
+
 def cross_split_links(rows: DataFrame, id_: str, text: str, split: str, train: str, others: list[str], t: Fraction = SIMILARITY, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(links, members). links: key_a, content_a of a training set, key_b, content_b of a similar evaluation set, coverage, exact.
+    """(links, members). links: key_a, content_a, seq_a of training words, key_b, content_b, seq_b of similar evaluation words, coverage, exact.
 
-    members: kind (0 training, 1 evaluation), key, content, id of the records of those sets. Records of other or null
+    A set is named by key and content; seq tells the orders and repeats of its words apart, each of which is compared.
+    members: kind (0 training, 1 evaluation), key, content, seq, id of the records of those sets. Records of other or null
     splits, null ids and sentences, and sentences of fewer than `least` distinct words are left out.
     """
     kind = F.when(F.col(split) == train, 0).when(F.col(split).isin(others), 1)
@@ -208,8 +220,10 @@ def cross_split_links(rows: DataFrame, id_: str, text: str, split: str, train: s
     near = cut_lineage(sets.maybe_in(sets.keyed(kept, "text", least, ["id", "kind"]), sets.key_filter(pairs)))
     of = lambda k: near.filter(F.col("kind") == k)
     close = cut_lineage(sets.close_pairs(pairs, *(of(k).select(*sets.NAMED).distinct() for k in (0, 1)), measure))
-    near = sets.maybe_in(near, sets.key_filter(close))
-    both = with_texts(close, of(0), of(1)).select("key_a", "content_a", "key_b", "content_b", "text_a", "text_b")
+    near = with_sequence(sets.maybe_in(near, sets.key_filter(close)))
+    side = lambda k, s: of(k).groupBy("key", "content", "seq").agg(F.min("text").alias("text")).select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "content", "seq", "text")])
+    names = ["key_a", "content_a", "seq_a", "key_b", "content_b", "seq_b"]
+    both = close.join(side(0, "a"), ["key_a", "content_a"]).join(side(1, "b"), ["key_b", "content_b"]).select(*names, "text_a", "text_b")
 
     def checked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,11 +235,11 @@ def cross_split_links(rows: DataFrame, id_: str, text: str, split: str, train: s
                     rows_.append(i)
                     cover.append(covered / len(wb))
                     same.append(wa == wb)
-            kept_ = b.take(pa.array(rows_, pa.int64())).select(["key_a", "content_a", "key_b", "content_b"])
+            kept_ = b.take(pa.array(rows_, pa.int64())).select(names)
             yield pa.RecordBatch.from_arrays([*kept_.columns, pa.array(cover, pa.float64()), pa.array(same, pa.bool_())], [*kept_.schema.names, "coverage", "exact"])
 
-    links = cut_lineage(both.mapInArrow(checked, "key_a long, content_a long, key_b long, content_b long, coverage double, exact boolean"))
-    return links, near.select("kind", "key", "content", "id").distinct()
+    links = cut_lineage(both.mapInArrow(checked, ", ".join(f"{n} long" for n in names) + ", coverage double, exact boolean"))
+    return links, near.select("kind", "key", "content", "seq", "id").distinct()
 
 
 TRAIN, OTHERS = "train", ["validation", "test"]
@@ -237,16 +251,22 @@ def annotation_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     links, members = annotation_links(spark, sf_dir)
-    side = lambda k, s: members.filter(F.col("kind") == k).select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "content", "id")])
-    pairs = links.join(side(0, "a"), ["key_a", "content_a"]).join(side(1, "b"), ["key_b", "content_b"]).filter(F.col("id_a") != F.col("id_b"))
+    side = lambda k, s: members.filter(F.col("kind") == k).select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "content", "id")]).distinct()
+    pairs = links.select("key_a", "content_a", "key_b", "content_b").distinct().join(side(0, "a"), ["key_a", "content_a"]).join(side(1, "b"), ["key_b", "content_b"]).filter(F.col("id_a") != F.col("id_b"))
     return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
+def best_coverage(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, coverage, exact, n_train_sets) of each evaluation record's own words."""
+    own = [F.col(f"{c}_b").alias(c) for c in ("key", "content", "seq")]
+    best = links.groupBy(*own).agg(F.max("coverage").alias("coverage"), F.max("exact").alias("exact"), F.count_distinct("key_a", "content_a").alias("n_train_sets"))
+    return members.filter(F.col("kind") == 1).join(best, ["key", "content", "seq"]).select("id", "coverage", "exact", "n_train_sets")
+
+
 def p4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each evaluation record found in training: its best coverage and whether the words agree in order."""
     links, members = annotation_links(spark, sf_dir)
-    best = links.groupBy(F.col("key_b").alias("key"), F.col("content_b").alias("content")).agg(F.max("coverage").alias("coverage"), F.max("exact").alias("exact"), F.count("*").alias("n_train_sets"))
-    found = members.filter(F.col("kind") == 1).join(best, ["key", "content"]).groupBy("id").agg(F.round(F.max("coverage"), 6).alias("coverage"), F.max("exact").alias("exact"), F.max("n_train_sets").alias("n_train_sets"))
+    found = best_coverage(links, members).groupBy("id").agg(F.round(F.max("coverage"), 6).alias("coverage"), F.max("exact").alias("exact"), F.max("n_train_sets").alias("n_train_sets"))
     named = table(spark, sf_dir, "annotations").filter(F.col("split_name").isin(OTHERS)).groupBy("id").agg(F.min("split_name").alias("split_name"), F.min("source").alias("source"))
     return found.join(named, "id")
 

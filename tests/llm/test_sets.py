@@ -159,6 +159,16 @@ def test_cross_split_in_a_hot_group_with_spread_edits(spark):
     assert got == {(a, b) for a, b in wanted(rows) if a[0] == "t" and b[0] == "v"}
 
 
+def test_coverage_compares_every_order_of_a_set(spark):
+    base = [f"w{i:02}" for i in range(10, 30)]
+    other = base[10:] + base[:10]
+    rows = [("t1", " ".join(base), "train"), ("t2", " ".join(["w10", "w10"] + base[11:] + base[1:11]), "train"), ("v1", " ".join(base), "test"), ("v2", " ".join(other), "test")]
+    df = spark.createDataFrame(rows, "id string, sentence string, split string")
+    got = {r["id"]: r for r in cross_split.best_coverage(*cross_split.cross_split_links(df, "id", "sentence", "split", "train", ["test"])).collect()}
+    assert got["v1"]["exact"] and got["v1"]["coverage"] == 1 and got["v1"]["n_train_sets"] == 1
+    assert not got["v2"]["exact"]
+
+
 def test_components(spark):
     e = [("a", "b"), ("b", "c"), ("x", "y"), ("c", "c"), ("a", "b"), (None, "q"), ("z", None)] + [(f"p{i:02}", f"p{i + 1:02}") for i in range(40)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(e, "u string, v string")).collect()}
