@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 SLICES = 512
+DRAW_SEED = 7
+
+
+def hash_of(by: Sequence[str], seed: int = DRAW_SEED) -> Column:
+    """63 bits that order rows for a draw."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *by), 1)
+
+
+def draw_limit(most: int, total: int) -> int:
+    """The hash below which about `most` of `total` rows lie, with slack, so that a draw rarely has fewer."""
+    return (1 << 63) - 1 if total <= 2 * most else min((1 << 63) - 1, int((most + 6 * math.sqrt(most) + 16) / total * (1 << 63)))
+
+
+def drawn(few: DataFrame, columns: Sequence[str], by: Sequence[str], most: int) -> list[Row]:
+    """At most `most` different rows of `few`, in the order of a seeded hash of `by`.
+
+    few: rows that were let through by draw_limit in the scan. So about `most` rows come to the driver in all, whatever
+    the number of tasks; repeated rows are one before they leave their task.
+    """
+    named = few.select(hash_of(by).alias("__h"), F.struct(*columns).alias("__r"))
+    return [r["r"] for r in named.groupBy("__h").agg(F.min("__r").alias("r")).orderBy("__h").limit(most).collect()]
 
 
 def permuted_position(df: DataFrame, group: Sequence[str], key: Sequence[str], seed: int, weight: Column | None = None) -> DataFrame:

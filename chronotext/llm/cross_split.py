@@ -1,12 +1,13 @@
 """The same or nearly the same records in the training split and in others (problem 4): winnowing fingerprints.
 
 Each sentence selects, in every window of WINDOW word grams, the gram of the smallest rolling hash: any run of
-GRAM + WINDOW - 1 words shared by two sentences leaves a common fingerprint. Grams that are frequent in the corpus
-(stock phrases, groups of near-copies) are chosen only where a window has no rarer one, which depends on their words
-alone; the most frequent are spread over a grid of cells in which every pair still meets. Fingerprints of training records
-meet those of evaluation records only. What meets is bounded by the keys of `sets` before texts are fetched; then the common grams
-of a pair are chained (the longest run of seeds in the order of both texts), extended word by word, and the covered share
-of the evaluation record is reported. The exact similarity of the word sets decides last.
+GRAM + WINDOW - 1 words shared by two sentences leaves a common fingerprint. Fingerprints of training records meet those
+of evaluation records only. Fingerprints follow the reading order and stock phrases have too many, so the exact join of
+`sets`, across the two kinds, adds what they cannot find: pairs of reordered or densely edited sentences, and pairs whose
+only common fingerprints are among those expected to have more than HOT_POSTINGS postings, which are left to it. Both
+leave the scan in one pass and meet in the same buckets. What meets is bounded by the keys of `sets` before texts are
+fetched; then the common grams of a pair are chained (the longest run of seeds in the order of both texts), extended word
+by word, and the covered share of the evaluation record is reported. The exact similarity of the word sets decides last.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ from chronotext.llm import sets
 from chronotext.llm.near_dup import LEAST_WORDS, SIMILARITY
 from chronotext.session import cut_lineage, shuffle_partitions, table
 
-GRAM, WINDOW = 3, 3
+GRAM, WINDOW, SEED = 3, 3, 3
 U = np.uint64
-#: Postings a sentence leaves on average, for the number of buckets; size of the table of gram counts; shares of the
-#: sentences from which on a gram is frequent and is spread over cells, and the count below which none is.
-PER_ROW, SLOT_BITS, OFTEN, SPREAD, LEAST_OFTEN = 20, 18, 5e-4, 5e-3, 64
+#: Fingerprints a sentence leaves on average, for the number of buckets; postings from which on one is left to the exact join.
+PER_ROW, HOT_POSTINGS = 20, 5_000
 
 
 class Grams:
@@ -53,25 +53,18 @@ class Grams:
         return np.flatnonzero(self.left >= length)
 
 
-def slot(gram: np.ndarray) -> np.ndarray:
-    return (gram >> U(64 - SLOT_BITS)).astype(np.int64)
-
-
-def winnow(flat: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, often: np.ndarray | None = None, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, owner) of word sequences. `often`: by slot, how frequent its grams are (0 to 3); rarer grams win over
-    more frequent ones, then the smaller hash.
-    A sequence shorter than a gram leaves none; one of fewer grams than a window leaves its smallest."""
+def winnow(flat: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, owner) of word sequences. A sequence shorter than a gram leaves none; one of fewer grams than a window its smallest."""
     g = Grams(flat, sizes, hashes)
     at = g.starts(gram)
     if not len(at):
         return np.zeros(0, U), np.zeros(0, np.int64)
     value = g.run(at, gram)
-    level = np.zeros(len(at), U) if often is None else often[slot(value)].astype(U)
-    rank, own, m = (value >> U(2)) | (level << U(62)), g.owner[at], len(at)
+    own, m = g.owner[at], len(at)
     best = np.arange(m)
     for i in range(1, window):  # the last smallest of the window that starts here, within one sequence
         other = np.minimum(np.arange(m) + i, m - 1)
-        best = np.where((own[other] == own) & (rank[other] <= rank[best]), other, best)
+        best = np.where((own[other] == own) & (value[other] <= value[best]), other, best)
     full = own[np.minimum(np.arange(m) + window - 1, m - 1)] == own
     full[m - window + 1 :] = False
     few = np.bincount(own, minlength=len(sizes))[own] < window
@@ -96,42 +89,15 @@ def read_sequences(texts: list[str], least: int, vocabulary: sets.Vocabulary) ->
     return tuple(np.array(x, np.int64) for x in (rows, flat, sizes, distinct, counts))
 
 
-def cross_cells(kind: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, cell): each posting goes to a row (training) or a column (evaluation) of the grid; every pair across meets in one cell."""
-    n = sets.CELLS
-    mine, other = np.repeat((sets.mix(keys) % U(n)).astype(np.int64), n), np.tile(np.arange(n), len(keys))
-    return np.repeat(np.arange(len(keys)), n), np.where(np.repeat(kind, n) == 0, mine * n + other, other * n + mine)
-
+def hot_fingerprints(sample: list[str], least: int, total: int) -> np.ndarray:
+    """Sorted fingerprints that, going by the sample, have more than HOT_POSTINGS postings in `total` sentences."""
+    vocabulary = sets.Vocabulary()
+    _, flat, sizes, _, _ = read_sequences(sample, least, vocabulary)
+    found, n = np.unique(winnow(flat, sizes, vocabulary.grown())[0], return_counts=True)
+    return found[(n >= 4) & (n * total / max(1, len(sample)) > HOT_POSTINGS)]
 
-def frequent_slots(rows: DataFrame, least: int) -> tuple[np.ndarray, int]:
-    """(how frequent the grams of each slot are, number of sentences), counted over all rows (text).
 
-    A fixed table of 2**SLOT_BITS counts of the grams of GRAM words. 1, 2: in more than OFTEN, SPREAD of the sentences
-    beyond what chance puts into a slot.
-    """
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, total, n = sets.Vocabulary(), np.zeros(1 << SLOT_BITS, np.int64), 0
-        for batch in batches:
-            vocabulary.bounded()
-            _, flat, sizes, _, _ = read_sequences(batch.column(0).to_pylist(), least, vocabulary)
-            if len(sizes):
-                g = Grams(flat, sizes, vocabulary.grown())
-                total += np.bincount(slot(g.run(g.starts(GRAM), GRAM)), minlength=1 << SLOT_BITS)
-                n += len(sizes)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[used, -1].astype(np.int32)), pa.array(np.r_[total[used], n])], ["slot", "n"])
-
-    total, n = np.zeros(1 << SLOT_BITS, np.int64), 0
-    for r in rows.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        if r["slot"] < 0:
-            n = r["n"]
-        else:
-            total[r["slot"]] = r["n"]
-    return sum((total > max(share * n, LEAST_OFTEN) + 2 * total.mean()).astype(np.uint8) for share in (OFTEN, SPREAD)), n
-
-
-def aligned(a: list[str], b: list[str], gram: int = GRAM) -> tuple[int, int]:
+def aligned(a: list[str], b: list[str], gram: int = SEED) -> tuple[int, int]:
     """(words of b covered, seeds chained): common grams in the order of both, extended while words agree."""
     where = defaultdict(list)
     for i in range(len(a) - gram + 1):
@@ -163,36 +129,47 @@ def aligned(a: list[str], b: list[str], gram: int = GRAM) -> tuple[int, int]:
     return len(covered), len(chain)
 
 
-def fingerprint_pairs(rows: DataFrame, measure: sets.Measure) -> DataFrame:
-    """(key_a, key_b): keys of training (a) and evaluation (b) sentences with a common fingerprint that may be similar. rows: text, kind."""
-    often, n = frequent_slots(rows, measure.least)
-    buckets = max(shuffle_partitions(rows.sparkSession), int(n * PER_ROW / sets.BUCKET_POSTINGS) + 1)
+def across_pairs(rows: DataFrame, measure: sets.Measure, fingerprints: bool = True, exact: bool = True) -> DataFrame:
+    """(key_a, key_b): keys of training (a) and evaluation (b) sentences that may be similar. rows: id, text, kind.
+
+    fingerprints, exact: which of the two ways is gone (both by default; one alone is for tests and measurements).
+    """
+    plan, sample, total = sets.plan_for(rows, "id", "text", measure)
+    hot = hot_fingerprints(sample, measure.least, total)
+    most = int(total * PER_ROW / sets.BUCKET_POSTINGS) + 1
+    first = (0, most, most + plan.buckets)  # buckets of fingerprints, of whole groups of training, of evaluation
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sets.Vocabulary()
-        for batch in batches:
+        for texts, kinds in sets.chunked(batches, 16_384):
             vocabulary.bounded()
-            at, flat, sizes, distinct, counts = read_sequences(batch.column(0).to_pylist(), measure.least, vocabulary)
-            if len(sizes):
-                h = vocabulary.grown()
-                keys = sets.keys_of(h[distinct], np.cumsum(counts) - counts, counts)
-                sig, owner = winnow(flat, sizes, h, often)
-                key, kind, hot = keys[owner], np.asarray(batch.column(1))[at][owner].astype(np.int64), often[slot(sig)] > 1
-                place, cell = cross_cells(kind[hot], key[hot])
-                sig = np.concatenate([sig[~hot], sets.mix(sig[hot][place] + cell.astype(U))])
-                key, kind = (np.concatenate([x[~hot], x[hot][place]]) for x in (key, kind))
-                out = list(sets.pack(sig, key, kind, buckets))
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "block"])
+            at, flat, sizes, distinct, counts = read_sequences(texts, measure.least, vocabulary)
+            if not len(sizes):
+                continue
+            h, kind = vocabulary.grown(), np.array(kinds, np.int64)[at]
+            starts = np.cumsum(counts) - counts
+            keys = sets.keys_of(h[distinct], starts, counts)
+            parts = []
+            if fingerprints:
+                sig, owner = winnow(flat, sizes, h)
+                cold = sets.places(hot, sig) < 0
+                parts.append((sig[cold], keys[owner][cold], kind[owner][cold]))
+            else:
+                parts.append(sets.joined([]))
+            single = sets.first_of_each(keys, sets.content_of(h[distinct], starts), kind.astype(U))
+            own = sets.Sets(at, distinct, counts).take(single)
+            parts += sets.across_postings(own, h, keys[single], kind[single], plan) if exact else []
+            yield sets.blocks_of(x for p, n, begin in zip(parts, (most, plan.buckets, plan.buckets), first) for x in sets.pack(*p, n, begin))
 
     limit = measure.table()
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for code, key in sets.by_bucket(batches):
+        for bucket, code, key in sets.by_bucket(batches):
             code, key, _ = sets.in_order(code, key)
-            yield sets.key_pairs([np.stack(p) for p in sets.meetings(code, key, limit, cross=True) if len(p[0])])
+            turn = -1 if bucket >= first[2] else 1
+            yield sets.key_pairs([np.stack(p[::turn]) for p in sets.meetings(code, key, limit, cross=True) if len(p[0])])
 
-    blocks = rows.mapInArrow(emit, "bucket int, block binary")
-    return cut_lineage(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key_a long, key_b long").distinct())
+    return sets.met(rows.select("text", "kind").mapInArrow(emit, "bucket int, block binary"), most + 2 * plan.buckets, meet)
 
 
 def with_sequence(rows: DataFrame) -> DataFrame:
@@ -216,7 +193,7 @@ def cross_split_links(rows: DataFrame, id_: str, text: str, split: str, train: s
     kind = F.when(F.col(split) == train, 0).when(F.col(split).isin(others), 1)
     kept = rows.select(F.col(id_).alias("id"), F.col(text).alias("text"), kind.cast("int").alias("kind")).dropna()
     measure = sets.Measure(t, least)
-    pairs = fingerprint_pairs(kept.select("text", "kind"), measure)
+    pairs = across_pairs(kept, measure)
     near = cut_lineage(sets.maybe_in(sets.keyed(kept, "text", least, ["id", "kind"]), sets.key_filter(pairs)))
     of = lambda k: near.filter(F.col("kind") == k)
     close = cut_lineage(sets.close_pairs(pairs, *(of(k).select(*sets.NAMED).distinct() for k in (0, 1)), measure))

@@ -41,7 +41,7 @@ def similar_sets(rows: DataFrame, id_: str, text: str, measure: sets.Measure) ->
     every record of those sets and of every set held by more than one row. A set is named by its key and content hash.
     """
     kept = rows.select(F.col(id_).alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    plan = sets.plan_for(kept, "id", "text", measure)
+    plan, _, _ = sets.plan_for(kept, "id", "text", measure)
     pairs = sets.candidates(kept, "text", plan)
     named = cut_lineage(sets.maybe_in(sets.keyed(kept, "text", measure.least, ["id"]).select("id", *sets.NAMED), sets.key_filter(pairs)))
     different = named.select(*sets.NAMED).distinct()

@@ -15,8 +15,11 @@ parity of the word hashes (57 bits) and the size (7 bits). Two keys bound the di
 nearly all chance meetings are dropped by xor and popcount before anything is fetched; what is left is checked exactly
 against the texts.
 
-Skew: exact copies collapse to one key inside a task and again in a bucket; signatures that are frequent in the sample
-are spread over a grid of cells in which every pair still meets.
+Skew: exact copies collapse to one key inside a task and again in a bucket; signatures of more than CELL_POSTINGS
+expected postings are spread over a grid of cells in which every pair still meets, as wide as their number asks for.
+
+Across two kinds of sets (training and evaluation) only pairs of different kinds meet: the whole groups of the one with
+the groups of the other, and in buckets of their own the other way round.
 """
 
 from __future__ import annotations
@@ -33,14 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotext.session import cut_lineage, shuffle_partitions
+from chronotext.llm.common import draw_limit, drawn, hash_of
+from chronotext.session import cut_lineage, ship_package, shuffle_partitions
 
 WORD = re.compile("[a-z0-9]+")
 U = np.uint64
 PARITY, SIZE_BITS = 57, 7
 CODE_BITS = 23
-#: Sample of sets from which the plan is shaped, postings of one bucket, frequent signatures' cells, bits of the filter.
-SAMPLE, BUCKET_POSTINGS, CELLS, FILTER_BITS, FILTER_SLICES = 8_000, 1_500_000, 8, 1 << 23, 64
+#: Sample of sets from which the plan is shaped, postings of one bucket, postings of a signature in one cell of its grid,
+#: the widest grid.
+SAMPLE, BUCKET_POSTINGS, CELL_POSTINGS, WIDEST = 8_000, 1_500_000, 8_000, 64
+#: Bits of a filter for each value, the most bits of a filter (16 MB); beyond, values are looked up by a join. Bits of a slice.
+VALUE_BITS, MOST_BITS, SLICE_BITS = 8, 1 << 27, 1 << 20
 
 
 #: What names a set (key and content hash) and bounds its difference from others (wide parity).
@@ -180,7 +187,8 @@ class Band:
     lists: bool
     member: np.ndarray  # by size: takes part
     group_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int16))  # by place in Plan.known
-    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, U))  # sorted signatures that are spread over cells
+    grid: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # how many rows and columns of cells
 
 
 @dataclass
@@ -315,22 +323,39 @@ def make_plan(measure: Measure, histogram: dict[int, int], sample: list[str], fi
         keep = b.member[np.minimum(sets.sizes, len(b.member) - 1)]
         s, _, _ = signatures(part := sets.take(keep), hashes[part.flat], plan, here[part.flat], i)
         u, c = np.unique(s, return_counts=True)
-        b.hot = u[c > max(50, 0.02 * len(sets.sizes))]
+        expected = c * counts.sum() / sampled
+        often = (c >= 8) & (expected > 2 * CELL_POSTINGS)
+        b.hot, b.grid = u[often], np.minimum(WIDEST, -(-expected[often] // CELL_POSTINGS)).astype(np.int64)
         postings += len(s) * counts.sum() / sampled
     plan.buckets = max(fixed_buckets, int(postings / BUCKET_POSTINGS) + 1)
     return plan
 
 
-def cells(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For frequent signatures: each key goes to CELLS cells such that any two keys meet in one of them."""
-    mine = (mix(keys) % U(CELLS)).astype(np.int64)
-    other = np.tile(np.arange(CELLS), len(keys))
-    mine = np.repeat(mine, CELLS)
-    return np.repeat(np.arange(len(keys)), CELLS), np.minimum(mine, other) * CELLS + np.maximum(mine, other)
-
+def cells(keys: np.ndarray, grid: np.ndarray, role: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(place, cell): each key of a frequent signature goes to `grid` cells such that any two keys meet in one of them.
 
-def pack(sig: np.ndarray, keys: np.ndarray, kind: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Blocks by bucket: sorted 24-bit codes (signature bits and kind) as deltas, then the keys."""
+    role: then keys of role 0 go to a row of cells and those of role 1 to a column, so that any two across meet.
+    """
+    at = np.repeat(np.arange(len(keys)), grid)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(grid) - grid, grid)
+    mine = (mix(keys[at]) % np.maximum(grid[at], 1).astype(U)).astype(np.int64)
+    if role is None:
+        return at, np.minimum(mine, other) * WIDEST + np.maximum(mine, other)
+    return at, np.where(role[at] == 0, mine * WIDEST + other, other * WIDEST + mine)
+
+
+def spread_hot(sig: np.ndarray, key: np.ndarray, kind: np.ndarray, band: Band, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings with those of frequent signatures spread over cells."""
+    if not len(band.hot):
+        return sig, key, kind
+    place = places(band.hot, sig)
+    hot = place >= 0
+    at, cell = cells(key[hot], band.grid[place[hot]], kind[hot] if across else None)
+    return tuple(np.concatenate(p) for p in ((sig[~hot], mix(sig[hot][at] + cell.astype(U))), (key[~hot], key[hot][at]), (kind[~hot], kind[hot][at])))
+
+
+def pack(sig: np.ndarray, keys: np.ndarray, kind: np.ndarray, buckets: int, first: int = 0) -> Iterator[tuple[int, bytes]]:
+    """Blocks by bucket, numbered from `first`: sorted 24-bit codes (signature bits and kind) as deltas, then the keys."""
     bucket = (sig % U(buckets)).astype(np.int64)
     code = ((sig >> U(64 - CODE_BITS)).astype(np.int64) << 1) | kind
     order = np.argsort((bucket << (CODE_BITS + 1)) | code)
@@ -339,7 +364,7 @@ def pack(sig: np.ndarray, keys: np.ndarray, kind: np.ndarray, buckets: int) -> I
     for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
         deltas = np.diff(code[a:b], prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
         small = zlib.compress(deltas, 1)
-        yield int(bucket[a]), len(small).to_bytes(4, "little") + small + keys[a:b].astype("<u8").tobytes()
+        yield first + int(bucket[a]), len(small).to_bytes(4, "little") + small + keys[a:b].astype("<u8").tobytes()
 
 
 def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -424,27 +449,58 @@ def size_histogram(rows: DataFrame, text: str, least: int) -> dict[int, int]:
     return {r["n"]: r["c"] for r in counted.groupBy("n").agg(F.sum("c").alias("c")).collect()}
 
 
-def plan_for(rows: DataFrame, id_: str, text: str, measure: Measure) -> Plan:
+def plan_for(rows: DataFrame, id_: str, text: str, measure: Measure) -> tuple[Plan, list[str], int]:
+    """(plan, sample of texts, rows with enough words). The sample is drawn from rows with enough words, by hash in the scan."""
+    ship_package(rows.sparkSession)
     histogram = size_histogram(rows, text, measure.least)
-    enough = lambda s: s is not None and len(set(words(s))) >= measure.least
-    draw = lambda some: [r[0] for r in some.select(text, F.xxhash64(id_, text).alias("h")).orderBy("h").limit(SAMPLE).collect() if enough(r[0])]
+    total = sum(histogram.values())
 
     def long_enough(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([enough(s) for s in b.column(text).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([s is not None and len(set(words(s))) >= measure.least for s in b.column(text).to_pylist()], pa.bool_()))
+
+    few = rows.select(id_, text).filter(hash_of([id_, text]) <= draw_limit(SAMPLE, total))
+    sample = [r[0] for r in drawn(few.mapInArrow(long_enough, few.schema), [text], [id_, text], SAMPLE)]
+    return make_plan(measure, histogram, sample, shuffle_partitions(rows.sparkSession)), sample, total
 
-    sample = draw(rows.filter(F.length(text) > 20))
-    if len(sample) < min(SAMPLE, sum(histogram.values())) // 2:  # such rows are rare: drawn from them alone
-        few = rows.select(id_, text)
-        sample = draw(few.mapInArrow(long_enough, few.schema))
-    return make_plan(measure, histogram, sample, shuffle_partitions(rows.sparkSession))
+
+def blocks_of(parts: Iterable[tuple[int, bytes]]) -> pa.RecordBatch:
+    out = list(parts)
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "block"])
+
+
+def chunked(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[list[list]]:
+    """The columns of `block` rows at a time."""
+    held: list[list] = []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        held = [h + c for h, c in zip(held, columns)] if held else columns
+        while len(held[0]) >= block:
+            yield [h[:block] for h in held]
+            held = [h[block:] for h in held]
+    if held and held[0]:
+        yield held
+
+
+def band_postings(sets: Sets, hashes: np.ndarray, keys: np.ndarray, plan: Plan) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(band, signatures, places in `sets`, kinds) of each band."""
+    known = places(plan.known, hashes)
+    for b, band in enumerate(plan.bands):
+        keep = (sets.sizes < len(band.member)) & band.member[np.minimum(sets.sizes, len(band.member) - 1)]
+        part = sets.take(keep)
+        s, owner, k = signatures(part, hashes[part.flat], plan, known[part.flat], b)
+        yield b, s, np.flatnonzero(keep)[owner], k
+
+
+def joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    empty = (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
+    return tuple(np.concatenate(p) for p in zip(empty, *parts))
 
 
 def postings(batches: Iterable[pa.RecordBatch], plan: Plan, block: int = 16_384) -> Iterator[pa.RecordBatch]:
     """One row (bucket, block) per task, chunk and bucket from rows of (text)."""
     vocabulary = Vocabulary()
-
-    def emit(texts: list[str | None]) -> pa.RecordBatch:
+    for (texts,) in chunked(batches, block):
         vocabulary.bounded()
         sets = read_sets(texts, plan.measure.least, vocabulary)
         hashes = vocabulary.grown()
@@ -454,48 +510,44 @@ def postings(batches: Iterable[pa.RecordBatch], plan: Plan, block: int = 16_384)
         by_key = np.argsort(keys, kind="stable")
         nth = np.arange(len(keys)) - np.maximum.accumulate(np.where(np.r_[True, keys[by_key][1:] != keys[by_key][:-1]], np.arange(len(keys)), 0)) if len(keys) else np.zeros(0, int)
         copies = keys[by_key][nth < 2]
-        # sets of one content are one; sets that only share the key stay apart
-        one = np.unique(np.stack([keys, content_of(hashes[sets.flat], starts)]), axis=1, return_index=True)[1] if len(keys) else np.zeros(0, int)
-        single = np.zeros(len(keys), bool)
-        single[one] = True
+        single = first_of_each(keys, content_of(hashes[sets.flat], starts))
         sets, keys = sets.take(single), keys[single]
-        known = places(plan.known, hashes)
-        sig, key, kind = [mix(copies ^ U(0xC0FFEE))], [copies], [np.zeros(len(copies), np.int8)]
-        for b, band in enumerate(plan.bands):
-            keep = (sets.sizes < len(band.member)) & band.member[np.minimum(sets.sizes, len(band.member) - 1)]
-            part = sets.take(keep)
-            s, owner, k = signatures(part, hashes[part.flat], plan, known[part.flat], b)
-            mine = keys[keep][owner]
-            if len(band.hot):
-                hot = np.isin(s, band.hot)
-                at, cell = cells(mine[hot])
-                sig.append(mix(s[hot][at] + cell.astype(U)))
-                key.append(mine[hot][at])
-                kind.append(k[hot][at])
-                s, mine, k = s[~hot], mine[~hot], k[~hot]
-            sig.append(s)
-            key.append(mine)
-            kind.append(k)
-        out = list(pack(np.concatenate(sig), np.concatenate(key), np.concatenate(kind), plan.buckets))
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "block"])
-
-    held: list[str | None] = []
-    for batch in batches:
-        held.extend(batch.column(0).to_pylist())
-        while len(held) >= block:
-            yield emit(held[:block])
-            held = held[block:]
-    if held:
-        yield emit(held)
+        parts = [(mix(copies ^ U(0xC0FFEE)), copies, np.zeros(len(copies), np.int64))]
+        for b, s, at, k in band_postings(sets, hashes, keys, plan):
+            parts.append(spread_hot(s, keys[at], k, plan.bands[b], False))
+        yield blocks_of(pack(*joined(parts), plan.buckets))
 
 
-def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All postings of each bucket, from rows (bucket, block) sorted by bucket."""
-    now, held = None, []
+def first_of_each(keys: np.ndarray, *others: np.ndarray) -> np.ndarray:
+    """A mask of the first of all rows that agree in keys and others."""
+    single = np.zeros(len(keys), bool)
+    if len(keys):
+        single[np.unique(np.stack([keys, *others]), axis=1, return_index=True)[1]] = True
+    return single
 
-    def whole() -> tuple[np.ndarray, np.ndarray]:
+
+def across_postings(sets: Sets, hashes: np.ndarray, keys: np.ndarray, kind: np.ndarray, plan: Plan) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Postings (signature, key, role) of sets of kind 0 and 1, so that sets of different kinds meet, role 0 with 1.
+
+    First: whole groups of kind 0 with whole groups and subsets of kind 1. Second: whole groups of kind 1 with subsets of kind 0.
+    """
+    one, two = [], []
+    for b, s, at, less in band_postings(sets, hashes, keys, plan):
+        band, key, k = plan.bands[b], keys[at], kind[at]
+        use = (k == 1) | (less == 0)
+        one.append(spread_hot(s[use], key[use], k[use], band, True))
+        use = (less == 1 - k) & (not band.lists)
+        two.append(spread_hot(s[use], key[use], 1 - k[use], band, True))
+    return joined(one), joined(two)
+
+
+def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, codes, keys): all postings of each bucket, from rows (bucket, block) sorted by bucket."""
+    now, held = -1, []
+
+    def whole() -> tuple[int, np.ndarray, np.ndarray]:
         parts = [unpack(x) for x in held]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        return now, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     for batch in batches:
         for b, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -508,6 +560,12 @@ def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
         yield whole()
 
 
+def met(blocks: DataFrame, buckets: int, meet) -> DataFrame:
+    """(key_a, key_b) of what meets in the buckets; bucket i is task i, so that tasks are even."""
+    placed = blocks.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    return cut_lineage(placed.mapInArrow(meet, "key_a long, key_b long").distinct())
+
+
 def key_pairs(pairs: list[np.ndarray]) -> pa.RecordBatch:
     both = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), U)
     return pa.RecordBatch.from_arrays([pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64))], ["key_a", "key_b"])
@@ -518,7 +576,7 @@ def candidates(rows: DataFrame, text: str, plan: Plan) -> DataFrame:
     limit = plan.measure.table()
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for code, key in by_bucket(batches):
+        for _, code, key in by_bucket(batches):
             code, key, twice = in_order(code, key)
             found = [np.stack([twice, twice])]
             for a, b in meetings(code, key, limit, cross=False):
@@ -526,58 +584,60 @@ def candidates(rows: DataFrame, text: str, plan: Plan) -> DataFrame:
                     found.append(np.stack([a, b]))
             yield key_pairs(found)
 
-    blocks = rows.select(text).mapInArrow(lambda it: postings(it, plan), "bucket int, block binary")
-    met = blocks.repartition(plan.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key_a long, key_b long")
-    return cut_lineage(met.distinct())
+    return met(rows.select(text).mapInArrow(lambda it: postings(it, plan), "bucket int, block binary"), plan.buckets, meet)
 
 
-def filter_of(values: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits over the values of a one-column table, whatever their number (1 MB to the driver and back).
+@dataclass
+class Filter:
+    """Which values may be in a one-column table. words: bits by hash, None if there are too many values; then `values` tells."""
 
-    Each task sets its bits and sends them compressed, in FILTER_SLICES slices that are united before the driver has them.
-    """
-    size = FILTER_BITS // FILTER_SLICES
+    values: DataFrame
+    words: np.ndarray | None
 
-    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for b in batches:
-            bits[np.asarray(b.column(0))] = True
-        yield slices({i: np.packbits(part) for i in range(FILTER_SLICES) if (part := bits[i * size : (i + 1) * size]).any()})
+
+def filter_of(values: DataFrame) -> Filter:
+    """A filter of VALUE_BITS bits for each value of a one-column table, counted first; at most MOST_BITS (16 MB), else a join.
+
+    Places of bits go to the task of their slice, which sends its slice packed; so no task holds more than its slices.
+    """
+    n = values.count()
+    size = 1 << max(16, int(n * VALUE_BITS).bit_length())
+    if size > MOST_BITS:
+        return Filter(values, None)
+    per = min(size, SLICE_BITS)
 
     def unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(block), np.uint8)
-                held[i] = held[i] | part if i in held else part
-        yield slices(held)
-
-    def slices(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts.values()], pa.binary())], ["slice", "block"])
+            at = np.asarray(b.column(0))
+            for i in np.unique(at // per).tolist():
+                held.setdefault(i, np.zeros(per, bool))[at[at // per == i] % per] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], ["slice", "block"])
 
-    kind = "slice int, block binary"
-    bit = F.pmod(F.xxhash64(F.col(values.columns[0])), F.lit(FILTER_BITS)).alias("bit")
-    marked = values.select(bit).mapInArrow(mark, kind).repartition("slice").mapInArrow(unite, kind)
-    out = np.zeros(FILTER_BITS, bool)
-    for r in marked.collect():
-        out[r["slice"] * size : (r["slice"] + 1) * size] = np.unpackbits(np.frombuffer(zlib.decompress(r["block"]), np.uint8)).view(bool)
-    return np.packbits(out, bitorder="little").view("<i8")
+    bit = F.pmod(F.xxhash64(F.col(values.columns[0])), F.lit(size)).alias("bit")
+    placed = values.select(bit).repartition(max(1, min(size // per, shuffle_partitions(values.sparkSession))), F.floor(F.col("bit") / per))
+    out = np.zeros(size // 8, np.uint8)
+    for r in placed.mapInArrow(unite, "slice int, block binary").collect():
+        out[r["slice"] * per // 8 : (r["slice"] + 1) * per // 8] = np.frombuffer(r["block"], np.uint8)
+    return Filter(values, out.view("<i8"))
 
 
-def key_filter(pairs: DataFrame) -> np.ndarray:
+def key_filter(pairs: DataFrame) -> Filter:
     return filter_of(pairs.select(F.explode(F.array("key_a", "key_b")).alias("k")))
 
 
-def maybe_in(rows: DataFrame, words_: np.ndarray, column: str = "key") -> DataFrame:
-    """Rows whose column may be in the filter (all that are, and few others while the filter is not full)."""
-    shared = rows.sparkSession.sparkContext.broadcast(words_)
+def maybe_in(rows: DataFrame, known: Filter, column: str = "key") -> DataFrame:
+    """Rows whose column may be in the filter: all that are, and about one in VALUE_BITS of the others (none by a join)."""
+    if known.words is None:
+        return rows.join(known.values.toDF("__known").distinct(), F.col(column) == F.col("__known"), "left_semi")
+    shared, size = rows.sparkSession.sparkContext.broadcast(known.words), len(known.words) * 64
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bit = np.asarray(b.column("__bit"))
             yield b.filter(pa.array((shared.value[bit >> 6] >> (bit & 63)) & 1 == 1)).drop_columns(["__bit"])
 
-    return rows.withColumn("__bit", F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))).mapInArrow(kept, rows.schema)
+    return rows.withColumn("__bit", F.pmod(F.xxhash64(F.col(column)), F.lit(size))).mapInArrow(kept, rows.schema)
 
 
 def keyed(rows: DataFrame, text: str, least: int, others: list[str]) -> DataFrame:
