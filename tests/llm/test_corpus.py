@@ -194,3 +194,43 @@ def test_language(spark):
 @pytest.mark.parametrize("label,code", [("en-US", "en"), ("FRENCH", "fr"), ("deu", "de"), (" pt_BR ", "pt"), ("und", None), ("", None), (None, None)])
 def test_language_named(label, code):
     assert language.language_named(label) == code
+
+
+UK = "Комітет зазначив, що ціни зростали швидше, ніж очікувалося в останньому кварталі року. "
+PL = "Komitet zauważył, że ceny rosły szybciej niż oczekiwano w ostatnim kwartale roku, a gospodarka zwolniła. "
+
+
+def test_rare_and_unlisted_languages_are_not_the_largest(spark):
+    rows = [(i, t * 3, l) for i, (t, l) in enumerate([(EN, "en"), (FR, "fr"), (DE, "de")] * 60)]
+    rows += [(500 + i, UK * 2, "uk") for i in range(4)] + [(600 + i, EN * 2, "nl") for i in range(4)] + [(700, PL * 2, None), (701, UK, "unknown"), (702, EN + UK, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got, odd = {}, {}
+    for r in language.language_passages(df).collect():
+        got.setdefault(r["doc_id"], []).append(r["lang"])
+    for r in language.language_passages(df, unlisted=True).collect():
+        odd.setdefault(r["doc_id"], []).append(r["lang"])
+    assert all(got[500 + i] == ["uk"] for i in range(4)) and got[701] == ["uk"] and sorted(got[702]) == ["en", "uk"]
+    assert all(got[600 + i] == ["en"] for i in range(4))
+    assert 700 not in got and odd[700] == ["und"]
+
+
+def test_label_codes_agree(spark):
+    labels = ["en-US", "FRENCH", "deu", " pt_BR ", "und", "", None, "uk", "XX", "n/a", "some words", "pol", "zh-Hant"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in labels], "s string").select(language.code_of(F.col("s"))).collect()]
+    assert got == [language.language_named(x) for x in labels]
+
+
+def test_even_shares():
+    assert language.even_shares({"a": 5000, "b": 2, "c": 400}, 300) == {"b": 2, "c": 149, "a": 149}
+    assert language.even_shares({}, 10) == {} and sum(language.even_shares({f"l{i}": 5 for i in range(40)}, 10).values()) == 10
+
+
+def test_draw_lets_few_rows_through(spark):
+    from chronotext.llm.common import draw_limit, drawn, hash_of
+
+    df = spark.range(20_000).select((F.col("id") % 15_000).alias("id")).repartition(16)
+    few = df.filter(hash_of(["id"]) <= draw_limit(200, 20_000))
+    assert few.count() < 500
+    got = drawn(few, ["id"], ["id"], 200)
+    assert 100 < len({r["id"] for r in got}) == len(got) <= 200
+    assert len(drawn(df.limit(50), ["id"], ["id"], 200)) <= 50
