@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ SEED, FRACTION = 42, 5
 #: A retired topic name and what it means now.
 RENAMED = {"unemployment": "labor_market"}
 REST = "(other)"
+#: Between the topics of a leaf; rounds in which a type's leaves are fitted to its topic quotas, and in which unmet ones move to other types.
+AND, FIT_ROUNDS, PASS_ROUNDS = "|", 300, 6
 
 
 def category(name: Column) -> Column:
@@ -68,37 +71,89 @@ def spread(amount: int, weights: dict, room: dict) -> dict:
     return out
 
 
+def members(topic: str) -> list[str]:
+    return [] if topic == REST else topic.split(AND)
+
+
+def fitted_leaves(room: np.ndarray, holds: np.ndarray, quota: float, topics: np.ndarray) -> np.ndarray:
+    """Amounts of the leaves of one type, none beyond its room, that sum to the quota and come as close to the topic quotas
+    as they can; holds: leaves x topics. Each topic has a factor, raised while it has too little (a leaf's amount is its
+    room times the factors of its topics times a common one), so what a leaf cannot give its siblings of the same topic do."""
+    if room.sum() <= quota:
+        return room.astype(float)
+    force = np.zeros(holds.shape[1])
+    x = room * quota / room.sum()
+    for _ in range(FIT_ROUNDS):
+        pull = room * np.exp(np.clip(holds @ force, -40, 40))
+        low, high = 0.0, 1e30
+        for _ in range(200):
+            mid = np.sqrt(max(low, 1e-30) * high)
+            low, high = (mid, high) if np.minimum(room, mid * pull).sum() < quota else (low, mid)
+            if high <= low * (1 + 1e-12):
+                break
+        x = np.minimum(room, high * pull)
+        have = x @ holds
+        if np.all(np.abs(have - topics) < 0.01):
+            break
+        force += np.clip(np.log(np.maximum(topics, 1e-6) / np.maximum(have, 1e-6)), -1, 1)
+        force = np.clip(force, -30, 30)
+    return x
+
+
+def whole_numbers(x: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """x in whole numbers, within room; the remainder of each is carried to the next, so sums of neighbours stay close."""
+    out, carry = np.zeros(len(x), np.int64), 0.0
+    for i, (v, r) in enumerate(zip(x, room)):
+        out[i] = max(0, min(int(r), math.floor(carry + v + 0.5)))
+        carry += v - out[i]
+    for i in range(len(x)):
+        if carry < 0.5:
+            break
+        more = min(int(room[i]) - out[i], math.floor(carry + 0.5))
+        out[i] += more
+        carry -= more
+    return out
+
+
 def allocate(sample: int, tree: dict[str, dict[str, int]], types: dict[str, tuple[float, int]], tops: dict[str, tuple[float, int]]) -> dict[tuple[str, str], int]:
-    """Quota of each leaf (type, topic) from the available numbers in `tree`; types, tops: (share, minimum).
+    """Quota of each leaf (type, topics) from the available numbers in `tree`; types, tops: (share, minimum).
 
-    Top-down: the sample over the types, each type over its topics. What a leaf cannot give goes to its siblings (topics
-    of the same type, then its records of no target topic), and what these cannot give to its cousins, the leaves of
-    other types. Then minimums: a category below its minimum takes from the largest leaf that can spare.
+    A leaf's topics are those of its records, joined by AND; each counts for all of them. Top-down: the sample over the
+    types, what a type cannot give to the others; each type over its leaves so that its topics have their shares, where
+    what a leaf cannot give goes to its siblings (leaves of the type with that topic). What a type cannot give of a topic
+    is asked of its cousins, the leaves of other types with that topic. What is left goes to records of no target type.
+    Then minimums: a category below its minimum takes from the largest leaf that can spare.
     """
-    everything = {t: 10**18 for t in types}
-    quota = {}
-    over = 0
-    for t, q in spread(sample, {t: s for t, (s, _) in types.items()}, everything).items():
-        room = tree.get(t, {})
-        full = {c: room.get(c, 0) for c in tops}
-        got = spread(q, {c: tops[c][0] for c in tops}, dict.fromkeys(tops, 10**18))
-        got = {c: min(g, full[c]) for c, g in got.items()}
-        more = spread(q - sum(got.values()), {c: tops[c][0] for c in tops}, {c: full[c] - got[c] for c in tops})
-        for c in tops:
-            quota[t, c] = got[c] + more[c]
-        left = q - sum(quota[t, c] for c in tops)
-        quota[t, REST] = min(left, room.get(REST, 0))
-        over += left - quota[t, REST]
+    names = sorted(tops)
+    room = {t: sum(cs.values()) for t, cs in tree.items()}
+    wanted = spread(sample, {t: s for t, (s, _) in types.items()}, {t: room.get(t, 0) for t in types})
+    leaf_of = {t: sorted(tree.get(t, {})) for t in types}
+    rooms = {t: np.array([tree[t][c] for c in cs], float) for t, cs in leaf_of.items()}
+    holds = {t: np.array([[n in members(c) for n in names] for c in cs], float).reshape(len(cs), len(names)) for t, cs in leaf_of.items()}
+    share = np.array([tops[n][0] for n in names])
+    asked = {t: wanted[t] * share for t in types}
+    amount: dict[str, np.ndarray] = {}
+    for _ in range(PASS_ROUNDS):
+        for t in types:
+            amount[t] = fitted_leaves(rooms[t], holds[t], wanted[t], asked[t])
+        unmet = share * sum(wanted.values()) - sum((amount[t] @ holds[t] for t in types), np.zeros(len(names)))
+        spare = {t: (rooms[t] - amount[t]) @ holds[t] for t in types}
+        total = sum(spare.values(), np.zeros(len(names)))
+        if not np.any((unmet > 0.5) & (total > 0)):
+            break
+        for t in types:
+            asked[t] = np.maximum(0, amount[t] @ holds[t] + np.where(total > 0, unmet * spare[t] / np.maximum(total, 1e-9), 0))
+    quota = {(t, c): int(n) for t in types for c, n in zip(leaf_of[t], whole_numbers(amount[t], rooms[t]))} if types else {}
     leaves = {(t, c): n for t, cs in tree.items() for c, n in cs.items()}
-    for only in (lambda k: k[0] in types and k[1] in tops, lambda k: k[0] in types, lambda k: True):  # cousins
-        some = {k: (types.get(k[0], (0.01, 0))[0] or 0.01) * (tops.get(k[1], (0.01, 0))[0] or 0.01) for k in leaves if only(k)}
-        more = spread(over, some, {k: leaves[k] - quota.get(k, 0) for k in some})
+    over = sample - sum(quota.values())
+    for only in (lambda k: k[0] in types, lambda k: True):
+        more = spread(over, {k: n for k, n in leaves.items() if only(k)}, {k: n - quota.get(k, 0) for k, n in leaves.items()})
         for k, g in more.items():
             quota[k] = quota.get(k, 0) + g
         over -= sum(more.values())
-    for level, named in ((0, types), (1, tops)):
+    for named, mine_of in ((types, lambda k, n: k[0] == n), (tops, lambda k, n: n in members(k[1]))):
         for name, (_, least) in sorted(named.items()):
-            mine = [k for k in leaves if k[level] == name]
+            mine = [k for k in leaves if mine_of(k, name)]
             need = min(least, sum(leaves[k] for k in mine)) - sum(quota.get(k, 0) for k in mine)
             for k in sorted(mine, key=lambda k: (quota.get(k, 0) - leaves[k], k)):
                 while need > 0 and quota.get(k, 0) < leaves[k]:
@@ -115,20 +170,20 @@ def allocate(sample: int, tree: dict[str, dict[str, int]], types: dict[str, tupl
 def proportional_sample(records: DataFrame, targets: list, seed: int = SEED) -> DataFrame:
     """(id, type, topic, types, tops) of a sample of a FRACTION-th of the records, by quota of each leaf.
 
-    A record is at the leaf of its first target type and of its scarcest target topic, REST if it has none. The leaf
-    counts (targets squared at most) come to the driver; drawing is a seeded order within each leaf, which is cut into
-    slices so that a hot leaf is no single task.
+    A record is at the leaf of its first target type and of all its target topics, REST if it has none. The leaf counts
+    (at most target types times 2 ** target topics) come to the driver; drawing is a seeded order within each leaf, which
+    is cut into slices so that a hot leaf is no single task.
     """
-    usable, available = category_counts(records, targets)
-    sample = usable // FRACTION
     of = lambda f: {t["category"]: (t["share"], int(t["min_n"])) for t in targets if t["field_name"] == f}
     types, tops = of("doc_type"), of("top")
-    scarce = sorted(tops, key=lambda c: (available["top", c] / max(tops[c][0], 1e-9), c))
     first = lambda col, names: F.coalesce(*[F.when(F.array_contains(col, n), n) for n in names], F.lit(REST))
-    placed = records.withColumn("type", first("types", sorted(types))).withColumn("topic", first("tops", scarce))
+    placed = records.withColumn("type", first("types", sorted(types)))
+    its = F.array_join(F.filter(F.array(*[F.when(F.array_contains("tops", c), c) for c in sorted(tops)]).cast("array<string>"), lambda x: x.isNotNull()), AND)
+    placed = placed.withColumn("topic", F.when(its == "", REST).otherwise(its))
     tree: dict[str, dict[str, int]] = {}
     for r in placed.groupBy("type", "topic").agg(F.count("*").alias("n")).collect():
         tree.setdefault(r["type"], {})[r["topic"]] = r["n"]
+    sample = sum(n for cs in tree.values() for n in cs.values()) // FRACTION
     quotas = [(t, c, q) for (t, c), q in sorted(allocate(sample, tree, types, tops).items())]
     quota = records.sparkSession.createDataFrame(quotas, "type string, topic string, quota long")
     drawn = permuted_position(placed.select("id", "type", "topic", "types", "tops"), ["type", "topic"], ["id"], seed).join(quota, ["type", "topic"])

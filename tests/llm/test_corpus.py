@@ -124,7 +124,7 @@ def test_sampling(spark):
 def test_report_of_what_was_drawn(spark):
     rows = [(f"s{i}", "speech", ["housing"] if i < 100 else ["macro"]) for i in range(250)] + [(f"m{i}", "minutes", ["macro"]) for i in range(250)]
     records = sampling.usable_records(spark.createDataFrame(rows, "id string, doc_type string, top array<string>"))
-    targets = [{"field_name": f, "category": c, "as_given": c, "share": s, "min_n": m} for f, c, s, m in [("doc_type", "minutes", 0.5, 1), ("doc_type", "speech", 0.5, 1), ("top", "housing", 0.4, 1), ("top", "macro", 0.6, 1), ("top", "wages", 0.1, 5)]]
+    targets = [{"field_name": f, "category": c, "as_given": c, "share": s, "min_n": m} for f, c, s, m in [("doc_type", "minutes", 0.8, 1), ("doc_type", "speech", 0.2, 1), ("top", "housing", 0.4, 1), ("top", "macro", 0.6, 1), ("top", "wages", 0.1, 5)]]
     got = {r[1]: r for r in sampling.target_report(records, targets)}
     assert got["housing"][5] == 100 and got["housing"][6] < got["housing"][4] == 40 and got["housing"][-2:] == (True, False)
     assert got["wages"][-2:] == (True, True) and got["speech"][-2:] == (False, False)
@@ -234,3 +234,19 @@ def test_draw_lets_few_rows_through(spark):
     got = drawn(few, ["id"], ["id"], 200)
     assert 100 < len({r["id"] for r in got}) == len(got) <= 200
     assert len(drawn(df.limit(50), ["id"], ["id"], 200)) <= 50
+
+
+def test_allocation_counts_a_record_for_all_its_topics():
+    tree = {"a": {"t": 300, "t|u": 200, "u": 100, sampling.REST: 500}, "b": {"t|u": 50, "u": 400, sampling.REST: 600}, "(other)": {"t": 9}}
+    types, tops = {"a": (0.5, 1), "b": (0.5, 1)}, {"t": (0.3, 1), "u": (0.25, 1), "v": (0.1, 3)}
+    q = sampling.allocate(400, tree, types, tops)
+    assert all(n <= tree[t][c] for (t, c), n in q.items()) and sum(q.values()) == 400
+    assert abs(sum(n for (t, _), n in q.items() if t == "a") - 200) <= 1
+    for name, (share, _) in tops.items():
+        assert name == "v" or abs(sum(n for (_, c), n in q.items() if name in sampling.members(c)) - share * 400) <= 4
+
+
+def test_topic_quota_moves_to_other_types():
+    tree = {"a": {"t": 0, sampling.REST: 500}, "b": {"t": 300, sampling.REST: 500}}
+    q = sampling.allocate(100, tree, {"a": (0.5, 1), "b": (0.5, 1)}, {"t": (0.4, 1)})
+    assert sum(q.values()) == 100 and abs(q["b", "t"] - 40) <= 1
