@@ -129,6 +129,20 @@ def aligned(a: list[str], b: list[str], gram: int = SEED) -> tuple[int, int]:
     return len(covered), len(chain)
 
 
+def new_texts(texts: list[str], kinds: list[int], seen: set[int], most: int = 300_000) -> tuple[list[str], list[int]]:
+    """Those that this task has not had yet; a copy's postings would say nothing new. `seen` is emptied when it is full."""
+    if len(seen) > most:
+        seen.clear()
+    out: tuple[list[str], list[int]] = ([], [])
+    for t, k in zip(texts, kinds):
+        h = sets._hash(f"{k}{t}")
+        if h not in seen:
+            seen.add(h)
+            out[0].append(t)
+            out[1].append(k)
+    return out
+
+
 def across_pairs(rows: DataFrame, measure: sets.Measure, fingerprints: bool = True, exact: bool = True) -> DataFrame:
     """(key_a, key_b): keys of training (a) and evaluation (b) sentences that may be similar. rows: id, text, kind.
 
@@ -140,9 +154,10 @@ def across_pairs(rows: DataFrame, measure: sets.Measure, fingerprints: bool = Tr
     first = (0, most, most + plan.buckets)  # buckets of fingerprints, of whole groups of training, of evaluation
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sets.Vocabulary()
+        vocabulary, seen = sets.Vocabulary(), set()
         for texts, kinds in sets.chunked(batches, 16_384):
             vocabulary.bounded()
+            texts, kinds = new_texts(texts, kinds, seen)
             at, flat, sizes, distinct, counts = read_sequences(texts, measure.least, vocabulary)
             if not len(sizes):
                 continue
@@ -194,10 +209,12 @@ def cross_split_links(rows: DataFrame, id_: str, text: str, split: str, train: s
     kept = rows.select(F.col(id_).alias("id"), F.col(text).alias("text"), kind.cast("int").alias("kind")).dropna()
     measure = sets.Measure(t, least)
     pairs = across_pairs(kept, measure)
-    near = cut_lineage(sets.maybe_in(sets.keyed(kept, "text", least, ["id", "kind"]), sets.key_filter(pairs)))
+    named = cut_lineage(sets.maybe_in(sets.keyed(kept, "text", least, ["id", "kind"]).select("id", "kind", *sets.NAMED), sets.key_filter(pairs)))
+    close = cut_lineage(sets.close_pairs(pairs, *(sets.one_each(named.filter(F.col("kind") == k)) for k in (0, 1)), measure))
+    wanted = sets.filter_of(sets.maybe_in(named, sets.key_filter(close)).select("id"))
+    near = sets.maybe_in(sets.keyed(sets.maybe_in(kept, wanted, "id"), "text", least, ["id", "kind"]), sets.key_filter(close))
+    near = cut_lineage(with_sequence(near))
     of = lambda k: near.filter(F.col("kind") == k)
-    close = cut_lineage(sets.close_pairs(pairs, *(of(k).select(*sets.NAMED).distinct() for k in (0, 1)), measure))
-    near = with_sequence(sets.maybe_in(near, sets.key_filter(close)))
     side = lambda k, s: of(k).groupBy("key", "content", "seq").agg(F.min("text").alias("text")).select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "content", "seq", "text")])
     names = ["key_a", "content_a", "seq_a", "key_b", "content_b", "seq_b"]
     both = close.join(side(0, "a"), ["key_a", "content_a"]).join(side(1, "b"), ["key_b", "content_b"]).select(*names, "text_a", "text_b")

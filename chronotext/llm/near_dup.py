@@ -44,7 +44,7 @@ def similar_sets(rows: DataFrame, id_: str, text: str, measure: sets.Measure) ->
     plan, _, _ = sets.plan_for(kept, "id", "text", measure)
     pairs = sets.candidates(kept, "text", plan)
     named = cut_lineage(sets.maybe_in(sets.keyed(kept, "text", measure.least, ["id"]).select("id", *sets.NAMED), sets.key_filter(pairs)))
-    different = named.select(*sets.NAMED).distinct()
+    different = sets.one_each(named)
     apart = (F.col("key_a") != F.col("key_b")) | (F.col("content_a") < F.col("content_b"))
     close = cut_lineage(sets.close_pairs(pairs, different, different, measure).filter(apart))
     wanted = sets.maybe_in(named, sets.key_filter(close.select("key_a", "key_b").union(pairs.filter("key_a = key_b"))))

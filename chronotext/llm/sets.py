@@ -660,6 +660,11 @@ def keyed(rows: DataFrame, text: str, least: int, others: list[str]) -> DataFram
     return few.mapInArrow(add, f"{schema}, " + ", ".join(f"{c} long" for c in NAMED))
 
 
+def one_each(named: DataFrame) -> DataFrame:
+    """Each set once, placed by its key, which the join by key needs anyway."""
+    return named.select(*NAMED).repartition("key").distinct()
+
+
 def close_pairs(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame, measure: Measure) -> DataFrame:
     """(key_a, content_a, key_b, content_b) of candidate sets whose wide parities allow the similarity. sets_*: NAMED."""
     side = lambda df, s: df.select(*[F.col(c).alias(f"{c}_{s}") for c in NAMED])
