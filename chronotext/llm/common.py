@@ -8,7 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-SLICES = 512
+from chronotext.session import shuffle_partitions
+
+#: Slices of an order: at least so many, and so many for each shuffle partition.
+SLICES, PER_PARTITION = 512, 8
 DRAW_SEED = 7
 
 
@@ -35,12 +38,13 @@ def drawn(few: DataFrame, columns: Sequence[str], by: Sequence[str], most: int)
 def permuted_position(df: DataFrame, group: Sequence[str], key: Sequence[str], seed: int, weight: Column | None = None) -> DataFrame:
     """`df` with `before`: the sum of `weight` (1 if none) over the rows of the group that come earlier in a seeded order.
 
-    The order is that of a seeded hash of `key`. A group is cut into SLICES slices of the order, so that no task holds
-    more than a slice; the sums of the slices (SLICES rows a group at most) give where each slice begins. Null groups
+    The order is that of a seeded hash of `key`. A group is cut into slices of the order, more of them the more partitions
+    the job has, so that no task holds more than a slice; the sums of the slices give where each slice begins. Null groups
     are groups of their own. Rows of equal key get distinct positions.
     """
     group, weight = list(group), F.lit(1) if weight is None else weight
-    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), *key)).withColumn("__slice", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(SLICES))).withColumn("__w", weight.cast("bigint"))
+    slices = max(SLICES, PER_PARTITION * shuffle_partitions(df.sparkSession))
+    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), *key)).withColumn("__slice", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(slices))).withColumn("__w", weight.cast("bigint"))
     nulls = {g: f"__g{i}" for i, g in enumerate(group)}
     totals = hashed.groupBy(*group, "__slice").agg(F.sum("__w").alias("__total"))
     begins = totals.select(

@@ -55,7 +55,7 @@ def node_components(nodes: DataFrame) -> DataFrame:
 
 
 def with_component(rows: DataFrame, id_: str, source: str, board: str, date: str) -> DataFrame:
-    """rows with `component`. Records that nothing ties are their own component by id; null ids by their place in no group."""
+    """rows with `component`. Records that nothing ties are their own component by id; those without an id and a tie share one."""
     nodes = tied(rows, id_, source, board, date)
     found = node_components(nodes)
     node = F.coalesce("__doc", "__day", F.concat(F.lit("id:"), F.coalesce(F.col(id_).cast("string"), F.lit(""))))
