@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.operators.relational import largest_remainder
+from chronotext.session import shuffle_partitions
 
-SLICES = 256
+#: Slices of a stratum: at least so many, and so many for each shuffle partition.
+SLICES, PER_PARTITION = 256, 8
 
 
 def ranked(df: DataFrame, by: Sequence[str], key: str, seed: int = 42) -> DataFrame:
     """df with `rank` (from 0) and `size` within its stratum in a seeded order; strata are cut into slices of the hash."""
-    h = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__s", F.pmod(F.shiftrightunsigned("__h", 32), F.lit(SLICES)))
+    slices = max(SLICES, PER_PARTITION * shuffle_partitions(df.sparkSession))
+    h = df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__s", F.pmod(F.shiftrightunsigned("__h", 32), F.lit(slices)))
     w = Window.partitionBy(*by)
     counts = h.groupBy(*by, "__s").agg(F.count("*").alias("__n"))
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(w.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("size", F.sum("__n").over(w)).drop("__n")
