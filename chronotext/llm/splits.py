@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronotext.functions.dates import any_date
 from chronotext.llm.common import permuted_position
 from chronotext.llm.components import components
 from chronotext.session import cut_lineage, table
@@ -24,23 +25,6 @@ def document_name(source: Column) -> Column:
     return F.lower(F.regexp_replace(s, "[^A-Za-z0-9]", ""))
 
 
-def any_date(text: Column) -> Column:
-    """DATE of a text in one of the known formats, null for null, blank and unreadable ones."""
-    s = F.trim(text)
-    read = lambda fmt: F.to_date(F.try_to_timestamp(s, F.lit(fmt)))
-    return (
-        F.when(s.rlike(r"^\d{8}$"), read("yyyyMMdd"))
-        .when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"), F.to_date(F.try_to_timestamp(F.regexp_extract(s, r"^(\S{8,10}?)([ T]|$)", 1), F.lit("yyyy-M-d"))))
-        .when(s.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), read("yyyy/M/d"))
-        .when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), read("M/d/yyyy"))
-        .when(s.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), read("d.M.yyyy"))
-        .when(s.rlike(r"^[A-Za-z]{4,} \d{1,2}, \d{4}$"), read("MMMM d, yyyy"))
-        .when(s.rlike(r"^[A-Za-z]{3} \d{1,2}, \d{4}$"), F.coalesce(read("MMM d, yyyy"), read("MMMM d, yyyy")))
-        .when(s.rlike(r"^\d{1,2} [A-Za-z]{4,} \d{4}$"), read("d MMMM yyyy"))
-        .when(s.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4}$"), F.coalesce(read("d MMM yyyy"), read("d MMMM yyyy")))
-    )
-
-
 def tied(rows: DataFrame, id_: str, source: str, board: str, date: str) -> DataFrame:
     """rows with `__doc` and `__day`, the nodes a record touches: the document its source names, its board on its date."""
     day = any_date(F.col(date))
