@@ -11,7 +11,9 @@ from chronotext.functions.dates import any_date, category_name
 from chronotext.functions.gardner import net_words
 from chronotext.operators import relational as r
 from chronotext.operators import temporal as t
-from chronotext.plans.known_vintages import known_vintages
+from chronotext.plans.known_vintages import _KNOWN, known_vintages
+from chronotext.plans.panel_queries import _DAY, _SEN
+from chronotext.plans.scoring_queries import _NET
 from chronotext.session import table
 from chronotext.stats import favar as fv
 from chronotext.stats import models as m
@@ -177,6 +179,20 @@ def best_specification(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.col("adj_r2").desc(), "spec").limit(1).select("spec", "n", "adj_r2")
 
 
-NAMES = [favar_specifications, favar_masks, favar_scaling, favar_robustness, favar_terms, favar_walk_forward, panel_tests, best_specification]
+SHOWN = ["sent_total", "sent_sd", "sent_inflation", "end_15", "agg_power", "flag_elevated", "without_minutes", "net_none", "gdp_real"]
+
+
+def analysis_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The panel of the regressions: sentiment up to each meeting beside the macro series as they were known."""
+    return panel(spark, d).select(F.date_format("day", "yyyy-MM-dd").alias("day"), *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in SHOWN])
+
+
+NAMES = [analysis_panel, favar_specifications, favar_masks, favar_scaling, favar_robustness, favar_terms, favar_walk_forward, panel_tests, best_specification]
 QUERIES = {f.__name__: f for f in NAMES}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "analysis_panel": f"""{_KNOWN}, mc AS (SELECT day, avg(sign(number) * ln(1 + abs(number))) AS gdp_real FROM best WHERE rn = 1 AND event_type = 'meeting_date' AND regexp_replace(series, '_\\d+$', '') = 'gdp_real' GROUP BY 1),
+al AS (SELECT CAST({_DAY} AS DATE) AS on_, regexp_replace(lower(trim(doc_type)), '[\\s-]', '_', 'g') AS type, CAST({_SEN} AS DOUBLE) AS s, list_transform(coalesce(top, []), lambda z: replace(replace(lower(trim(z)), ' ', '_'), '-', '_')) AS tops, wid, {_NET('sentence')} AS net FROM annotations),
+dd AS (SELECT on_, sum(s) AS sent_total, stddev_samp(s) AS sent_sd, coalesce(sum(s) FILTER (list_contains(tops, 'inflation')), 0) AS sent_inflation, sum(CASE WHEN abs(s) = 2 THEN sign(s) * 1.5 ELSE s END) AS end_15, sum(sign(s) * pow(abs(s), 1.1)) AS agg_power, count(*) FILTER (wid = 'elevated') AS flag_elevated, coalesce(sum(s) FILTER (type <> 'minutes'), 0) AS without_minutes, sum(net) AS net_none FROM al WHERE on_ IS NOT NULL GROUP BY 1),
+mm AS (SELECT DISTINCT meeting_date AS day FROM fomc_calendar WHERE meeting_date IS NOT NULL), last AS (SELECT mm.day, max(on_) AS on_ FROM mm LEFT JOIN dd ON on_ <= mm.day GROUP BY 1)
+SELECT strftime(day, '%Y-%m-%d') AS day, {", ".join(f"round(CAST({c} AS DOUBLE) + 1e-9, 5) AS {c}" for c in SHOWN)} FROM last LEFT JOIN dd USING (on_) LEFT JOIN mc USING (day)""",
+}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronotext.functions import fixed_values as v
 from chronotext.functions import gardner as g
 from chronotext.functions import units as u
+from chronotext.functions.novelty import MOST_WORDS, STOP, WORD, cosine_novelty
 from chronotext.plans.scoring_queries import has, light, q
 from chronotext.session import table
 
@@ -56,7 +57,13 @@ def procedure_filter(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", F.size("s").cast("bigint").alias("n_sentences"), F.size(u.without_procedure(F.col("s"))).cast("bigint").alias("n_kept"))
 
 
-QUERIES = {f.__name__: f for f in (clean_documents, stock_phrases, unit_chunks, transcript_parts, procedure_filter)}
+def text_novelty(spark: SparkSession, d: str) -> DataFrame:
+    """1 - cosine of each document and the one before it of its source and type, over the 500 most frequent words."""
+    out = cosine_novelty(table(spark, d, "documents"), "doc_id", "text", ["source", "doc_type"], ["doc_id"])
+    return out.select("doc_id", F.round(F.col("novelty") + 1e-9, 6).alias("novelty"))
+
+
+QUERIES = {f.__name__: f for f in (clean_documents, stock_phrases, unit_chunks, transcript_parts, procedure_filter, text_novelty)}
 
 
 def _sql(pattern: str) -> str:
@@ -148,5 +155,12 @@ z AS (SELECT *, chair AND NOT coalesce(b, true) AND bs <> '' AS answers FROM o),
 r AS (SELECT doc_id, count(*) AS n_turns, count(*) FILTER (chair) AS n_chair, count(*) FILTER (answers) AS n_questions, string_agg(said, chr(10) || chr(10) ORDER BY i) FILTER (chair AND NOT answers AND NOT (first AND said = '')) AS p FROM z GROUP BY 1)
 SELECT doc_id, n_turns, n_chair, n_questions, CAST(coalesce(length(p), 0) AS BIGINT) AS n_prepared, CAST(CASE {' '.join(f'WHEN {a} > 0 THEN length({_strip(f"left(t, {a} - 1)")})' for a in _CUT)} ELSE length({_strip('t')}) END AS BIGINT) AS n_remarks,
 CAST(CASE {' '.join(x.replace('CASE WHEN', 'WHEN', 1) for x in _REST)} ELSE 0 END AS BIGINT) AS n_rest FROM r JOIN t USING (doc_id)""",
+    "text_novelty": f"""WITH d AS (SELECT doc_id, source, doc_type, list_filter(regexp_extract_all(lower(text), {q(WORD.replace("(", "").replace(")", ""))}), lambda w: w NOT IN ({", ".join(map(q, STOP))})) AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY 1, 2),
+t AS (SELECT w, ln((1 + (SELECT count(*) FROM d)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY 1 ORDER BY sum(n) DESC, w LIMIT {MOST_WORDS}),
+v AS (SELECT doc_id, w, n * idf AS x FROM c JOIN t USING (w)), m AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM v GROUP BY 1),
+p AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source, doc_type ORDER BY doc_id) AS b FROM d),
+s AS (SELECT p.doc_id, sum(v.x * y.x) AS dot FROM p JOIN v ON v.doc_id = p.doc_id JOIN v y ON y.doc_id = p.b AND y.w = v.w GROUP BY 1)
+SELECT p.doc_id, round(CASE WHEN a.norm > 0 AND z.norm > 0 THEN 1 - coalesce(dot, 0) / (a.norm * z.norm) END + 1e-9, 6) AS novelty FROM p LEFT JOIN s USING (doc_id) LEFT JOIN m a ON a.doc_id = p.doc_id LEFT JOIN m z ON z.doc_id = p.b""",
     "procedure_filter": f"WITH {_T}, s AS (SELECT doc_id, {light('t')} AS s FROM t WHERE t IS NOT NULL) SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, CAST(len(list_filter(s, lambda z: NOT {has('z', '|'.join(u.PROCEDURE))})) AS BIGINT) AS n_kept FROM s",
 }

@@ -1,12 +1,10 @@
-"""Sinks: overwrite to a new place, append, resume, batches, and an atomic swap of a folder on a local or mounted path."""
+"""Sinks: overwrite to a new place, append, resume, batches, JSON, logs, reports, and an atomic swap on any file system."""
 
 from __future__ import annotations
 
-import os
-import shutil
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,18 +32,76 @@ def append_missing(spark: SparkSession, rows: DataFrame, path: str, key: str) ->
 
 def batches(rows: DataFrame, path: str, by: str, order: str, size: int = 15) -> None:
     """Files of `size` rows per group, as folders by group and batch."""
-    from pyspark.sql import Window
-
     n = F.ceil(F.row_number().over(Window.partitionBy(by).orderBy(order)) / size)
     rows.withColumn("batch", n).write.mode("overwrite").partitionBy(by, "batch").json(path)
 
 
-def swap(rows: DataFrame, path: str) -> None:
-    """Replace the table at a mounted path by rows that may be read from it: staged beside it, then renamed."""
-    rows.write.mode("overwrite").parquet(staged := f"{path}.staged")
-    if os.path.exists(path):
-        os.rename(path, old := f"{path}.old")
-        os.rename(staged, path)
-        shutil.rmtree(old)
-    else:
-        os.rename(staged, path)
+def swap(rows: DataFrame, path: str) -> str:
+    """Replace the table at `path` by rows that may be read from it; returns the folder of the new version.
+
+    A version is a folder of its own, and the small file CURRENT names the one that counts; it is written last. So no
+    reader sees half a table, whatever the file system, and nothing is renamed. Earlier versions but the last go.
+    """
+    spark = rows.sparkSession
+    fs, at = _files(spark, path)
+    version = f"v{_number(current(spark, path)) + 1}"
+    rows.write.mode("overwrite").parquet(f"{path}/{version}")
+    out = fs.create(at(f"{path}/CURRENT"), True)
+    try:
+        out.write(bytearray(version.encode()))
+    finally:
+        out.close()
+    for s in fs.listStatus(at(path)):
+        name = s.getPath().getName()
+        if name.startswith("v") and name[1:].isdigit() and int(name[1:]) < _number(version) - 1:
+            fs.delete(s.getPath(), True)
+    return f"{path}/{version}"
+
+
+def _number(version: str | None) -> int:
+    return int(version[1:]) if version else 0
+
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The version that counts at a swapped path, None before the first."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at(f"{path}/CURRENT")):
+        return None
+    stream = fs.open(at(f"{path}/CURRENT"))
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{current(spark, path)}")
+
+
+def json_array(rows: DataFrame, path: str) -> None:
+    """One file that holds all rows as a JSON array, for small results: written by one task, never by the driver."""
+    lines = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+    first = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) == 1
+    marked = lines.coalesce(1).select(F.concat(F.when(first, "[").otherwise(","), "value").alias("value"))
+    end = rows.sparkSession.range(1).select(F.lit("]").alias("value"))
+    start = lines.limit(1).count() == 0
+    body = marked if not start else rows.sparkSession.range(1).select(F.lit("[").alias("value"))
+    body.withColumn("o", F.lit(0)).unionByName(end.withColumn("o", F.lit(1))).coalesce(1).select("value").write.mode("overwrite").text(path)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Rows below those of earlier runs, as CSV with one header per file; columns are those of the first run."""
+    rows.coalesce(1).write.mode("append").option("header", True).csv(path)
+
+
+def markdown(rows: DataFrame, title: str, most: int = 50) -> str:
+    """A small table as markdown, at most `most` rows in their order."""
+    cell = lambda x: "" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x).replace("|", "\\|")
+    lines = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
+    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows.limit(most).collect()]) + "\n"
