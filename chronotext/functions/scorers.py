@@ -1,131 +1,23 @@
-"""Word-list scorers of policy sentences. Every word list and rule table is a parameter; the defaults are small examples.
-
-Counts and ordered or conjunctive rules are built-in expressions. Only the proximity scorer, which needs distances between
-matches of long topic phrases and modifiers, is an Arrow UDF with patterns compiled once per worker.
-"""
+"""Scorers by name, and the general form of the proximity scorer with topics and modifiers of one's own."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-POSITIVE, NEGATIVE = ["strengthened", "recovered", "rose", "accelerated", "climbed"], ["eased", "slipped", "tumbled", "weakened", "softened"]
-#: (pattern, score): the first that matches decides.
-POLICY_RULES = [("tighten|firmer path|further tightening", 1), ("easing|easier setting|pause in purchases", -1), ("haste|patient|neutral", 0)]
-#: All patterns of a rule must match for the sentence to be dropped.
-DROP_RULES = [("voting", "action"), ("staff memo",)]
-TOPIC_SIGNS = {"prices": 1, "inflation": 1, "wages": 1, "unemployment": -1, "vacancies": 1, "spreads": -1, "lending standards": -1, "exports": 1}
-MODIFIER_SIGNS = {"rose": 1, "climbed": 1, "accelerated": 1, "strengthened": 1, "fell": -1, "eased": -1, "slipped": -1, "weakened": -1, "tumbled": -1}
-TOPIC_WORDS = {"inflation": ["price", "inflation", "cost"], "labor_market": ["wage", "vacanc", "payroll", "layoff", "labour", "hiring"], "economic_activity": ["sales", "orders", "exports", "output", "shipments"], "financial_conditions": ["lending", "spread", "mortgage", "deposit", "loan"], "monetary_policy": ["tightening", "policy", "purchases", "stance"]}
-
-
-def tokens(text: Column) -> Column:
-    """Lower-case words with everything but a-z stripped; null and empty texts have none."""
-    return F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: F.regexp_replace(x, "[^a-z]", "")), lambda x: x != "")
-
-
-def listed(text: Column, words: Sequence[str]) -> Column:
-    """How many tokens are in the list."""
-    return F.size(F.filter(tokens(text), lambda x: x.isin(list(words))))
-
-
-def net_tone(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> dict[str, Column]:
-    p, n = listed(text, positive), listed(text, negative)
-    return {"positive": p, "negative": n, "net": p - n}
-
-
-def dropped(text: Column, rules: Sequence[Sequence[str]] = DROP_RULES) -> Column:
-    t, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)
-    for rule in rules:
-        one = F.lit(True)
-        for p in rule:
-            one = one & t.rlike(p)
-        out = out | one
-    return out
+from chronotext.functions.gardner import with_gardner, with_sharpe
 
 
-def first_rule(text: Column, rules: Sequence[tuple[str, int]] = POLICY_RULES, default: int = 0) -> Column:
-    t, out = F.lower(text), None
-    for p, s in rules:
-        out = F.when(t.rlike(p), s) if out is None else out.when(t.rlike(p), s)
-    return out.otherwise(default)
-
-
-def topics_by_substring(text: Column, words: Mapping[str, Sequence[str]] = TOPIC_WORDS) -> Column:
-    t = F.lower(F.coalesce(text, F.lit("")))
-    found = F.filter(F.array(*[F.when(t.rlike("|".join(w)), k) for k, w in words.items()]), lambda x: x.isNotNull())
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("no_topic")))
-
-
-def dominant_topic(text: Column, words: Mapping[str, Sequence[str]] = TOPIC_WORDS) -> Column:
-    """The topic of most word hits, the first of equals; no_topic without any."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    best = F.array_max(F.array(*[F.struct(F.regexp_count(t, F.lit("|".join(w))).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, w) in enumerate(words.items())]))
-    return F.when(best["n"] > 0, best["k"]).otherwise("no_topic")
-
-
-#: Rules of the pseudo-labels: (pattern, label), the first that matches decides. Examples, to be replaced by a project's own.
-LABEL_RULES = {
-    "tense": ([("will|expect|could|would|may ", "interpretive")], "descriptive"),
-    "commitment": ([("if .* were|provided that|unless", "conditional"), ("will keep|stay patient|committed", "unconditional")], "none"),
-    "risk": ([("tilted upward|upside", "skewed_upside"), ("tilted downward|downside", "skewed_downside"), ("roughly matched|balanced", "symmetric")], "na"),
-    "width": ([("unusually clouded|wide error", "elevated"), ("dissent|minority|contested", "contested")], "none"),
-}
-#: Categories of which each may count once per sentence, with the score of its first matching pattern.
-OVERRIDES = {"stance": [("further tightening could wait", -1), ("two more steps", 1)], "slack": [("slack was larger", -1), ("labour market was tight", 1)]}
-REGIMES = {"crisis": ["collapse", "flood", "embargo"], "calm": ["usual range", "held steady", "as expected"]}
-
-
-def first_label(text: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
-    """The label of the first rule that matches; null and empty texts have the default."""
-    t, out = F.lower(F.coalesce(text, F.lit(""))), None
-    for p, label in rules:
-        out = F.when(t.rlike(p), label) if out is None else out.when(t.rlike(p), label)
-    return F.lit(default) if out is None else out.otherwise(default)
-
-
-def pseudo_labels(text: Column, rules: Mapping[str, tuple] = LABEL_RULES) -> dict[str, Column]:
-    return {field: first_label(text, r, default) for field, (r, default) in rules.items()}
-
-
-def override_score(text: Column, categories: Mapping[str, Sequence[tuple[str, int]]] = OVERRIDES) -> Column:
-    out = F.lit(0)
-    for rules in categories.values():
-        out = out + F.coalesce(first_rule(text, rules), F.lit(0))
-    return out
-
-
-def combined_sentiment(rule: Column, total: Column, strong: float = 2.0) -> Column:
-    """The rule's score or the sign of the binned total (2 beyond `strong`), whichever is larger; within -2 and 2."""
-    binned = F.signum(total) * F.when(F.abs(total) >= strong, 2).otherwise(1)
-    return F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.when(F.abs(rule) >= F.abs(binned), rule.cast("double")).otherwise(binned)))
-
-
-def regime_hint(text: Column, words: Mapping[str, Sequence[str]] = REGIMES) -> Column:
-    """The regime of most hits, the first of equals; null without any."""
-    best = dominant_topic(text, words)
-    return F.nullif(best, F.lit("no_topic"))
-
-
-def dual_signal(text: Column, first: str, second: str) -> Column:
-    """Both keyword patterns occur."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return t.rlike(first) & t.rlike(second)
-
-
-def per_length(score: Column, words: Column) -> Column:
-    return F.try_divide(score, F.nullif(words, F.lit(0)))
-
-
-def proximity_score(topics: Mapping[str, int] = TOPIC_SIGNS, modifiers: Mapping[str, int] = MODIFIER_SIGNS):
+def proximity_score(topics: Mapping[str, int], modifiers: Mapping[str, int]):
     """UDF of a sentence: sum over topic phrases (longest first) of the topic's sign times its closest modifier's.
 
     Distance is in words; equally close modifiers of opposite signs count 0; a modifier inside a topic phrase is passed
-    over. Null and empty texts score 0.
+    over. Null and empty texts score 0. Words are numbered once for a sentence.
     """
     phrases = sorted(topics, key=lambda k: (-len(k), k))
 
@@ -135,19 +27,22 @@ def proximity_score(topics: Mapping[str, int] = TOPIC_SIGNS, modifiers: Mapping[
         modifier = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, modifiers), key=len, reverse=True)) + r")\b")
 
         def one(text: str | None) -> float:
-            if not text:
+            spans = list(topic.finditer(t)) if (t := (text or "").lower()) else []
+            if not spans:
                 return 0.0
-            t = text.lower()
-            spans = [m for m in topic.finditer(t)]
-            mods = [m for m in modifier.finditer(t) if not any(s.start() <= m.start() < s.end() for s in spans)]
-            at = lambda i: len(t[:i].split())
+            begins, ends = [s.start() for s in spans], [s.end() for s in spans]
+            words = [m.start() for m in re.finditer(r"\S+", t)]
+            mods = []
+            for m in modifier.finditer(t):
+                i = bisect_left(begins, m.start() + 1) - 1
+                if i < 0 or m.start() >= ends[i]:
+                    mods.append((bisect_left(words, m.start()), modifiers[m.group()]))
             total = 0
             for s in spans:
-                near: dict[int, set[int]] = {}
-                for m in mods:
-                    near.setdefault(abs(at(m.start()) - at(s.start())), set()).add(modifiers[m.group()])
-                if near and len(signs := near[min(near)]) == 1:
-                    total += topics[s.group()] * next(iter(signs))
+                at = bisect_left(words, s.start())
+                least = min((abs(w - at) for w, _ in mods), default=0)
+                signs = {x for w, x in mods if abs(w - at) == least}
+                total += topics[s.group()] * signs.pop() if len(signs) == 1 else 0
             return float(total)
 
         for b in batches:
@@ -156,10 +51,16 @@ def proximity_score(topics: Mapping[str, int] = TOPIC_SIGNS, modifiers: Mapping[
     return score
 
 
-def registry() -> dict[str, object]:
-    """Scorers by name: functions of a text column."""
-    return {"net_tone": lambda c: net_tone(c)["net"].cast("double"), "policy": lambda c: first_rule(c).cast("double"), "proximity": lambda c: proximity_score()(c)}
+#: Functions of (frame, text column) that add score columns, and the columns they add.
+REGISTRY: dict[str, tuple[Callable[[DataFrame, str], DataFrame], tuple[str, ...]]] = {
+    "gardner": (with_gardner, ("gardner_inf", "gardner_labor", "gardner_out", "gardner_fin", "gardner_mp", "gardner_total")),
+    "sharpe": (with_sharpe, ("sharpe_positive", "sharpe_negative", "sharpe_net")),
+}
 
 
-def names() -> Iterable[str]:
-    return registry()
+def scored(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the score columns of a registered scorer; an unknown name is refused."""
+    if name not in REGISTRY:
+        raise ValueError(f"no such scorer: {name}")
+    run, columns = REGISTRY[name]
+    return run(df, text).select(*df.columns, *columns)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Abbreviations whose full stop ends no sentence, and mis-decoded marks with what they stand for.
+#: Abbreviations whose full stop ends no sentence, and mis-decoded marks with what they stand for; the published units are in `units`.
 ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "U.S", "vs", "Jan", "Feb", "Aug", "Sept", "Oct", "Nov", "Dec"]
 MISREAD = {"â€™": "'", "â€˜": "'", "â€œ": '"', "â€\x9d": '"', "â€“": "-", "â€”": "-", "Â": ""}
 #: Openings by which a sentence depends on the one before it.
@@ -129,6 +129,8 @@ def answer_json(response: Column, keys: Sequence[str]) -> Column:
 
 
 def contrast_split(text: Column, hinges: Sequence[str] = ("However", "But")) -> Column:
-    """Array of (before, after) at every sentence that opens with a hinge word."""
+    """Array of (before, after) at every sentence that opens with a hinge word, each up to the next hinge; (text, '') without any."""
     parts = F.split(text, r"(?<=\.)\s+(?=(?:" + "|".join(hinges) + r")\b)")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), " ").alias("before"), F.coalesce(F.try_element_at(parts, i + 1), F.lit("")).alias("after")))
+    pair = lambda i: F.struct(F.get(parts, i).alias("before"), F.get(parts, i + 1).alias("after"))
+    alone = F.array(F.struct(text.alias("before"), F.lit("").alias("after")))
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), pair)).when(text.isNotNull(), alone)

@@ -80,10 +80,44 @@ def document_aggregate(rows: DataFrame, keys: Sequence[str], score: str, top: st
     )
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """(keys, n, low, high, q0, q1, ..): exact quantiles by linear interpolation between the two closest rows; nulls are left out.
+
+    Sketches first bracket each quantile; then one more aggregate counts what lies below the bracket and gathers only the
+    values within it, some 8 / accuracy of a group, so that no task holds a large group. Ties at the ends of a bracket are
+    counted. Groups of at most 5 * accuracy rows, where a bracket is few rows, are sorted whole; both ways are exact.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
+    e, small = 4.0 / accuracy, 5 * accuracy
+    around = [min(1.0, max(0.0, p + d)) for p in shares for d in (-e, e)]
+    sketch = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__x").alias("low"), F.max("__x").alias("high"), F.percentile_approx("__x", F.array(*map(F.lit, around)), accuracy).alias("__b"))
+    names = {c: f"__k{i}" for i, c in enumerate(keys)}
+    same = F.lit(True)
+    for c, k in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    x, aggregates = F.col("__x"), []
+    for i, _ in enumerate(shares):
+        a, b = F.col("__b")[2 * i], F.col("__b")[2 * i + 1]
+        aggregates += [F.percentile(F.when(F.col("n") <= small, x), F.lit(shares[i])).alias(f"__p{i}"), F.count_if(x < a).alias(f"__below{i}"), F.collect_list(F.when((x > a) & (x < b), x)).alias(f"__in{i}"), F.count_if(x == a).alias(f"__a{i}"), F.count_if((x == b) & (b > a)).alias(f"__z{i}"), F.first(a).alias(f"__va{i}"), F.first(b).alias(f"__vb{i}")]
+    whole = rows.join(sketch.withColumnsRenamed(names), same).groupBy(*keys).agg(F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), *aggregates)
+
+    def at(i: int, place: Column) -> Column:
+        """The value at a place (from 0) of the sorted group."""
+        k = (place - F.col(f"__below{i}")).cast("int")
+        inner, first = F.sort_array(f"__in{i}"), F.col(f"__a{i}").cast("int")
+        return F.when(k < first, F.col(f"__va{i}")).when(k < first + F.size(inner), F.get(inner, k - first)).otherwise(F.col(f"__vb{i}"))
+
+    out = {}
+    for i, p in enumerate(shares):
+        place = F.lit(p) * (F.col("n") - 1)
+        low, high = at(i, F.floor(place)), at(i, F.ceil(place))
+        out[f"q{i}"] = F.when(F.col("n") <= small, F.col(f"__p{i}")).otherwise(low + (high - low) * (place - F.floor(place)))
+    return whole.select(*keys, "n", "low", "high", *[c.alias(k) for k, c in out.items()])
+
+
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact quartiles by linear interpolation, range, IQR, Bowley skew and tail asymmetry."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    q = df.groupBy(*keys).agg(F.min(value).alias("low"), p(0.25).alias("p25"), p(0.5).alias("median"), p(0.75).alias("p75"), F.max(value).alias("high"), p(0.99).alias("p99"))
+    q = exact_quantiles(df, keys, value, (0.25, 0.5, 0.75, 0.99)).select(*keys, "low", F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"), "high", F.col("q3").alias("p99"))
     return q.withColumns({
         "iqr": F.col("p75") - F.col("p25"), "full_spread": F.col("high") - F.col("low"),
         "bowley": F.try_divide(F.col("p75") + F.col("p25") - 2 * F.col("median"), F.nullif(F.col("p75") - F.col("p25"), F.lit(0.0))),
@@ -94,7 +128,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
 def label_metrics(pairs: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(label, tp, fp, fn, precision, recall, f1) over the union of true and predicted labels; 0 where undefined. One shuffle of label counts."""
     cells = pairs.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    hit = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)
+    hit = F.when(F.col("t").eqNullSafe(F.col("p")), F.col("n")).otherwise(0)
     rows = cells.select(F.explode(F.array(F.struct(F.col("t").alias("label"), hit.alias("tp"), F.lit(0).cast("long").alias("fp"), (F.col("n") - hit).alias("fn")), F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("tp"), (F.col("n") - hit).alias("fp"), F.lit(0).cast("long").alias("fn")))).alias("x")).select("x.*")
     m = rows.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     ratio = lambda a, b: F.coalesce(F.try_divide(a, F.nullif(b, F.lit(0))), F.lit(0.0))

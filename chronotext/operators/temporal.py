@@ -31,7 +31,7 @@ def asof(
     rows without a match keep nulls. `by` may be empty: then all rows are one entity, cut into spans of time only.
     """
     if direction == "nearest":
-        back = asof(left.withColumn("__row", F.monotonically_increasing_id()), right, by, left_time, right_time, payload, "backward", tie, exact, skip_null, tolerance_days)
+        back = asof(left, right, by, left_time, right_time, payload, "backward", tie, exact, skip_null, tolerance_days)
         names = [f"known_{c}" for c in payload] + ["known_at"]
         back = back.withColumn("__b", F.struct(*names)).drop(*names)
         both = asof(back, right, by, left_time, right_time, payload, "forward", tie, exact, skip_null, tolerance_days)
@@ -88,6 +88,24 @@ def diff(value: str, by: Sequence[str], order: Sequence[str], rows: int = 1) ->
     return F.col(value) - F.lag(value, rows).over(_w(by, order))
 
 
+def lag_by_span(df: DataFrame, by: Sequence[str], order: str, span: Column, value: str, out: str) -> DataFrame:
+    """df with the value of the row before in its group, by an order column that is unique in it.
+
+    span: an expression that never falls as the order rises (a prefix, a day). A group is cut into its spans, so that a hot
+    one is many tasks; only the last row of each span travels to the beginning of the next. Null groups are groups.
+    """
+    cut = df.withColumn("__span", span)
+    inner = Window.partitionBy(*by, "__span").orderBy(order)
+    lasts = cut.groupBy(*by, "__span").agg(F.max_by(F.struct(value), order).alias("__last"))
+    lasts = lasts.withColumn("__carried", F.lag("__last").over(Window.partitionBy(*by).orderBy("__span"))).drop("__last")
+    names = {c: f"__{i}_k" for i, c in enumerate([*by, "__span"])}
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    both = cut.withColumns({"__n": F.row_number().over(inner), "__before": F.lag(value).over(inner)}).join(lasts.withColumnsRenamed(names), same, "left")
+    return both.select(*df.columns, F.when(F.col("__n") > 1, F.col("__before")).otherwise(F.col(f"__carried.{value}")).alias(out))
+
+
 def lead_target(value: str, by: Sequence[str], order: Sequence[str], rows: int = 1) -> Column:
     return F.lead(value, rows).over(_w(by, order))
 

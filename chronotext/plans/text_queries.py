@@ -1,109 +1,76 @@
-"""Queries of text functions and scorers."""
+"""Queries of text functions: counts, normal forms, tone, novelty, terms and hinges."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronotext.functions import gardner as g
 from chronotext.functions import scorers as s
 from chronotext.functions import text as x
+from chronotext.functions import fixed_values as v
+from chronotext.operators.temporal import lag_by_span
+from chronotext.plans.scoring_queries import _COUNT, _TOK, has
 from chronotext.session import table
 
 
 def _a(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "annotations").select("id", "sentence", "board", "doc_type").distinct()
+    """Annotations with a vertical tab as a tab, as in the SQL."""
+    return table(spark, d, "annotations").select("id", "board", "doc_type", F.translate("sentence", "\x0b", "\t").alias("sentence"))
 
 
 def word_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r]+"), lambda w: w != "")).cast("bigint").alias("n_words"), F.length("text").cast("bigint").alias("n_chars"))
+    t = F.translate("text", "\x0b", "\t")
+    return table(spark, d, "documents").select("doc_id", x.word_count(t).cast("bigint").alias("n_words"), F.length("text").cast("bigint").alias("n_chars"))
 
 
 def net_tone(spark: SparkSession, d: str) -> DataFrame:
-    t = s.net_tone(F.col("sentence"))
-    return _a(spark, d).select("id", *[c.cast("bigint").alias(k) for k, c in t.items()])
-
-
-def policy_score(spark: SparkSession, d: str) -> DataFrame:
-    return _a(spark, d).select("id", s.first_rule(F.col("sentence")).alias("policy"), s.dropped(F.col("sentence")).alias("dropped"))
-
-
-def pseudo_topics(spark: SparkSession, d: str) -> DataFrame:
-    return _a(spark, d).select("id", F.array_join(F.array_sort(s.topics_by_substring(F.col("sentence"))), ",").alias("topics"), s.dominant_topic(F.col("sentence")).alias("dominant"))
+    scored = s.scored(_a(spark, d), "sentence", "sharpe")
+    return scored.select("id", *[F.col(f"sharpe_{c}").cast("bigint").alias(c) for c in ("positive", "negative", "net")])
 
 
 def tone_per_document(spark: SparkSession, d: str) -> DataFrame:
-    a = _a(spark, d).filter(~s.dropped(F.col("sentence")))
-    n = s.net_tone(F.col("sentence"))["net"]
-    return a.groupBy("board", "doc_type").agg(F.count("*").alias("n"), F.sum(n).alias("net"), F.sum(F.coalesce(F.size(s.tokens(F.col("sentence"))), F.lit(0))).alias("words"))
-
-
-def pseudo_labels(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("sentence")
-    labels = [v.alias(k) for k, v in s.pseudo_labels(c).items()]
-    return _a(spark, d).select("id", *labels, s.override_score(c).alias("overrides"), s.dual_signal(c, "price|inflation", "wage|vacanc|payroll").alias("dual"), s.regime_hint(c).alias("regime"))
-
-
-def sentiment_combined(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("sentence")
-    return _a(spark, d).filter(~s.dropped(c)).select("id", s.combined_sentiment(F.coalesce(s.first_rule(c), F.lit(0)), s.proximity_score()(c)).alias("sentiment"))
-
-
-def proximity(spark: SparkSession, d: str) -> DataFrame:
-    return _a(spark, d).select("id", s.proximity_score()(F.col("sentence")).alias("score"))
+    """Net tone and words of the informative sentences of each board and type."""
+    a = _a(spark, d).filter(~g.uninformative(F.col("sentence"))).withColumns({"net": g.net_words(F.col("sentence")), "n": F.size(g.bare_tokens(F.col("sentence")))})
+    return a.groupBy("board", "doc_type").agg(F.count("*").alias("n"), F.sum("net").alias("net"), F.sum("n").alias("words"))
 
 
 def normalized_text(spark: SparkSession, d: str) -> DataFrame:
-    return _a(spark, d).select("id", F.trim(F.regexp_replace(F.regexp_replace(F.lower("sentence"), r"[!-/:-@\[-`{-~]", ""), r"[ \t\n\r]+", " ")).alias("text"))
+    return _a(spark, d).select("id", x.normalized(F.col("sentence")).alias("text"))
 
 
 def novelty(spark: SparkSession, d: str) -> DataFrame:
-    """1 - Jaccard of each record against the one before it on its board (by id)."""
-    a = _a(spark, d)
-    prev = F.lag("sentence").over(Window.partitionBy("board").orderBy("id"))
-    return a.withColumn("prev", prev).select("id", F.round(x.jaccard_novelty(F.col("sentence"), F.col("prev")), 6).alias("novelty"))
-
-
-def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").filter("text is not null").select("doc_id", x.split_sentences(x.clean_text(F.col("text"))).alias("parts"))
-    return t.select("doc_id", F.size("parts").alias("n_sentences"), F.size(x.merged_chunks(F.col("parts"))).alias("n_chunks"))
+    """1 - Jaccard of each record against the one before it on its board, by id; a hot board is cut into spans of ids."""
+    a = _a(spark, d).filter("id IS NOT NULL").groupBy("board", "id").agg(F.min("sentence").alias("sentence"))
+    b = lag_by_span(a, ["board"], "id", F.substring("id", 1, 2), "sentence", "prev")
+    return b.select("id", "board", F.round(x.jaccard_novelty(F.col("sentence"), F.col("prev")), 6).alias("novelty"))
 
 
-def transcript_turns(spark: SparkSession, d: str) -> DataFrame:
-    t = x.transcript_turns(table(spark, d, "documents").filter(F.col("doc_type") == "press_conference_qa"), "doc_id", "text")
-    return x.question_answers(t, "doc_id").select("doc_id", "turn", "speaker", "kind", F.length("said").alias("n_said"), F.length("answer").alias("n_answer"))
-
-
-def boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    return _a(spark, d).select("id", x.is_boilerplate(F.col("sentence")).alias("boilerplate"))
+def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Document and term frequency of every word of the corpus with its smooth idf; counts are combined before they are exchanged."""
+    docs = table(spark, d, "documents").filter("text is not null").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    tf = docs.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+    df = docs.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = docs.agg(F.count("*").alias("n"))
+    return df.join(tf, "term").join(F.broadcast(n)).select("term", "df", "tf", F.round(F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1, 6).alias("idf"))
 
 
-def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Document and term frequency of every word of the corpus with its smooth idf; no vocabulary leaves the executors."""
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
-    per = docs.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    n = table(spark, d, "documents").filter("text is not null").agg(F.count("*").alias("n"))
-    terms = per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    return terms.join(F.broadcast(n)).select("term", "df", "tf", F.round(F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1, 6).alias("idf"))
+def hinges(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences that open with However or But, beside what stands before them."""
+    t = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", x.contrast_split(F.translate("text", "\x0b", "\t")).alias("h"))
+    return t.select("doc_id", F.size(F.filter("h", lambda z: z["after"] != "")).cast("bigint").alias("n"))
 
 
-NAMES = [word_counts, net_tone, policy_score, pseudo_topics, tone_per_document, pseudo_labels, sentiment_combined, proximity, normalized_text, novelty, sentence_chunks, transcript_turns, boilerplate, tfidf_terms]
+NAMES = [word_counts, net_tone, tone_per_document, normalized_text, novelty, tfidf_terms, hinges]
 QUERIES = {f.__name__: f for f in NAMES}
-_A = "WITH a AS (SELECT DISTINCT id, sentence, board, doc_type FROM annotations), t AS (SELECT *, list_filter(list_transform(regexp_split_to_array(lower(coalesce(sentence, '')), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: regexp_replace(w, '[^a-z]', '', 'g')), lambda w: w <> '') AS k FROM a)"
-_IN = lambda words: f"len(list_filter(k, lambda w: w IN ({', '.join(repr(w) for w in words)})))"
-_P, _N = _IN(s.POSITIVE), _IN(s.NEGATIVE)
-_DROP = "(regexp_matches(lower(coalesce(sentence, '')), 'voting') AND regexp_matches(lower(coalesce(sentence, '')), 'action') OR regexp_matches(lower(coalesce(sentence, '')), 'staff memo'))"
-_HITS = [f"(len(regexp_extract_all(lower(coalesce(sentence, '')), '{'|'.join(w)}')), {-i}, '{k}')" for i, (k, w) in enumerate(s.TOPIC_WORDS.items())]
-_L = "lower(coalesce(sentence, ''))"
-_CASE = lambda rules, default: "CASE " + " ".join(f"WHEN regexp_matches({_L}, '{p}') THEN {v!r}" for p, v in rules) + f" ELSE {default!r} END"
-_REG = ["row(len(regexp_extract_all({}, '{}')), {}, '{}')".format(_L, "|".join(w), -i, k) for i, (k, w) in enumerate(s.REGIMES.items())]
+_A = "WITH a AS (SELECT id, board, doc_type, replace(sentence, chr(11), chr(9)) AS sentence FROM annotations)"
+_P, _N = _COUNT("sentence", v.POSITIVE), _COUNT("sentence", v.NEGATIVE)
 ORACLES = {
-    "pseudo_labels": _A + " SELECT id, " + ", ".join(f"{_CASE(r, dft)} AS {k}" for k, (r, dft) in s.LABEL_RULES.items()) + ", " + " + ".join(_CASE(r, 0) for r in s.OVERRIDES.values()) + f" AS overrides, regexp_matches({_L}, 'price|inflation') AND regexp_matches({_L}, 'wage|vacanc|payroll') AS dual, (SELECT CASE WHEN h[1] > 0 THEN h[3] END FROM (SELECT unnest([{', '.join(_REG)}]) AS h) ORDER BY h[1] DESC, h[2] DESC LIMIT 1) AS regime FROM a",
-    "word_counts": "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda w: w <> '')) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n_chars FROM documents",
-    "net_tone": f"{_A} SELECT id, {_P} AS positive, {_N} AS negative, {_P} - {_N} AS net FROM t",
-    "policy_score": _A + " SELECT id, CASE " + " ".join(f"WHEN regexp_matches(lower(sentence), '{p}') THEN {v}" for p, v in s.POLICY_RULES) + f" ELSE 0 END AS policy, {_DROP} AS dropped FROM a",
-    "pseudo_topics": _A + " SELECT id, coalesce(nullif(array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(sentence, '')), '{'|'.join(w)}') THEN '{k}' END" for k, w in s.TOPIC_WORDS.items()) + "], lambda v: v IS NOT NULL)), ','), ''), 'no_topic') AS topics, (SELECT CASE WHEN h[1] > 0 THEN h[3] ELSE 'no_topic' END FROM (SELECT unnest([" + ", ".join(h.replace("(len", "row(len", 1) for h in _HITS) + "]) AS h) ORDER BY h[1] DESC, h[2] DESC LIMIT 1) AS dominant FROM a",
-    "tone_per_document": f"{_A} SELECT board, doc_type, count(*) AS n, CAST(sum({_P} - {_N}) AS BIGINT) AS net, CAST(sum(len(k)) AS BIGINT) AS words FROM t WHERE NOT {_DROP} GROUP BY 1, 2",
-    "normalized_text": _A + r" SELECT id, trim(regexp_replace(regexp_replace(lower(sentence), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS text FROM a",
-    "novelty": _A + ", w AS (SELECT id, list_distinct(regexp_extract_all(lower(sentence), '[a-z]+')) AS x, list_distinct(regexp_extract_all(lower(lag(sentence) OVER (PARTITION BY board ORDER BY id)), '[a-z]+')) AS y FROM a) SELECT id, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN 1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS novelty FROM w",
+    "word_counts": "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(replace(text, chr(11), chr(9)), ''), '\\S+')) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n_chars FROM documents",
+    "net_tone": f"{_A} SELECT id, {_P} AS positive, {_N} AS negative, {_P} - {_N} AS net FROM a",
+    "tone_per_document": f"{_A} SELECT board, doc_type, count(*) AS n, CAST(sum({_P} - {_N}) AS BIGINT) AS net, CAST(sum(len({_TOK.format('sentence')})) AS BIGINT) AS words FROM a WHERE NOT ({' OR '.join(has('sentence', r) for r in v.UNINFORMATIVE)}) GROUP BY 1, 2",
+    "normalized_text": _A + r" SELECT id, regexp_replace(regexp_replace(regexp_replace(lower(sentence), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g'), '^ +| +$', '', 'g') AS text FROM a",
+    "novelty": _A + ", b AS (SELECT board, id, min(sentence) AS sentence FROM a WHERE id IS NOT NULL GROUP BY 1, 2), w AS (SELECT id, board, list_distinct(regexp_extract_all(lower(sentence), '[a-z]+')) AS x, list_distinct(regexp_extract_all(lower(lag(sentence) OVER (PARTITION BY board ORDER BY id)), '[a-z]+')) AS y FROM b) SELECT id, board, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN 1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS novelty FROM w",
     "tfidf_terms": "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE text IS NOT NULL) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf, round(ln((1 + (SELECT count(*) FROM documents WHERE text IS NOT NULL)) / (1 + count(DISTINCT doc_id))) + 1, 6) AS idf FROM w GROUP BY 1",
+    "hinges": r"SELECT doc_id, CAST(len(regexp_extract_all(replace(text, chr(11), chr(9)), '\.\s+(?:However|But)\b')) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -31,7 +33,8 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_chronotext_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="chronotext-")) / "chronotext.zip"
+    target = Path(folder := tempfile.mkdtemp(prefix="chronotext-")) / "chronotext.zip"  # only the driver's copy; Spark sends it on
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in root.rglob("*.py"):
             z.write(p, p.relative_to(root.parent))

@@ -165,3 +165,27 @@ def test_stream_beside_history_and_resume(spark, tmp_path):
         q.awaitTermination(60)
     assert {r["id"]: r["known_x"] for r in spark.read.parquet(out).collect()} == {1: 1, 2: 2, 3: None} and spark.read.parquet(out).count() == 3
     assert m.directional_accuracy(np.array([1.0, -1.0]), np.array([1.0, 1.0]))[0] == 0.5
+
+
+def test_exact_quantiles_both_ways(spark):
+    from chronotext.operators.relational import exact_quantiles
+
+    r = np.random.default_rng(8)
+    rows = [("a", float(x)) for x in r.integers(0, 900, 3000)] + [("b", float(x)) for x in r.normal(size=2500)] + [("c", 1.0)] * 700 + [(None, 3.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    for accuracy in (10_000, 100):  # all groups are sorted whole, or only the smallest
+        got = {q["g"]: q for q in exact_quantiles(df, ["g"], "x", (0.25, 0.5, 0.99), accuracy).collect()}
+        for g in ("a", "b", "c"):
+            x = [v for k, v in rows if k == g and v is not None]
+            assert [got[g]["q0"], got[g]["q1"], got[g]["q2"]] == pytest.approx(list(np.quantile(x, (0.25, 0.5, 0.99)))), (g, accuracy)
+        assert got[None]["q1"] == 3.0 and got["a"]["n"] == 3000
+
+
+def test_lag_by_span(spark):
+    from chronotext.operators.temporal import lag_by_span
+
+    df = spark.range(300).select((F.col("id") * 7 % 300).alias("o"), (F.col("id") % 3).cast("string").alias("g")).withColumn("g", F.nullif("g", F.lit("2"))).withColumn("v", F.col("o") + 0.5)
+    got = lag_by_span(df, ["g"], "o", F.floor(F.col("o") / 11), "v", "prev").collect()
+    for g in ("0", "1", None):
+        mine = sorted((r["o"], r["v"], r["prev"]) for r in got if r["g"] == g)
+        assert len(mine) == 100 and [p for _, _, p in mine] == [None] + [v for _, v, _ in mine[:-1]]
