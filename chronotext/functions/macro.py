@@ -27,6 +27,17 @@ def implied_rate(meeting: Column, price: Column, next_price: Column, rate_before
     return F.when(after <= late_days, 100 - next_price).otherwise((length * (100 - price) - before * rate_before) / after)
 
 
+def contract_price(today: Column, meeting: Column, prices: Column) -> Column:
+    """The price of the contract of the meeting's month, from an array of prices by months ahead (0: this month); null beyond it."""
+    ahead = months_apart(today, meeting)
+    return F.when(ahead >= 0, F.get(prices, ahead))
+
+
+def simple_implied_rate(first: Column, second: Column, price: bool = True) -> Column:
+    """The front contract, else the second; as a rate (100 - price), or as it is."""
+    return (100 - F.coalesce(first, second)) if price else F.coalesce(first, second)
+
+
 def gap(value: Column, target: Column | float, strict_compat: bool = False) -> Column:
     """value - target; strict_compat counts a missing value as 0, as some published panels do."""
     t = target if isinstance(target, Column) else F.lit(target)

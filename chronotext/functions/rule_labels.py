@@ -8,19 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chronotext.functions import fixed_values as v
-from chronotext.functions.gardner import first_rule
+from chronotext.functions.gardner import first_rule, in_lower_case
 
 SENTIMENTS = ["very dovish", "dovish", "neutral", "hawkish", "very hawkish"]
 NO_TOPIC = "no_topic"
 
 
 def found(text: Column, pattern: str) -> Column:
-    return F.coalesce(text.rlike(f"(?i){pattern}"), F.lit(False))
+    return F.coalesce(F.lower(text).rlike(in_lower_case(pattern)), F.lit(False))
 
 
 def place(text: Column, pattern: str) -> Column:
     """Characters before the first match."""
-    return F.length(F.regexp_extract(text, f"(?is)^(.*?){pattern}", 1))
+    return F.length(F.regexp_extract(F.lower(text), f"(?s)^(.*?){in_lower_case(pattern)}", 1))
 
 
 def _lower(text: Column) -> Column:

@@ -187,3 +187,16 @@ def transcript(text: Column) -> Column:
         return F.when(~t["chair"], asks).when(answers, reply).otherwise(alone).cast(kind)
 
     return F.aggregate(turns(text), empty, step, lambda a: F.struct(F.array_join(a["prepared"], "\n\n").alias("prepared"), a["pairs"].alias("questions")))
+
+
+def preceding_sentence(sentences: Column, fragment: Column, size: int = 40) -> Column:
+    """The sentence before the one that begins as the fragment does (its first `size` characters); null if it is the first or none does."""
+    starts = F.transform(sentences, lambda s: (F.substring(s, 1, size) == F.substring(stripped(fragment), 1, size)) & (F.length(stripped(fragment)) > 0))
+    at = F.array_position(starts, F.lit(True))
+    return F.when(at > 1, F.get(sentences, (at - 2).cast("int")))
+
+
+def repaired(sentences: Column, fragment: Column) -> Column:
+    """A fragment that depends on the sentence before it, with that sentence in front; else as it is."""
+    before = preceding_sentence(sentences, fragment)
+    return F.when(before.isNotNull() & depends(fragment, True), F.concat(before, F.lit(" "), stripped(fragment))).otherwise(fragment)

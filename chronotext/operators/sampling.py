@@ -56,6 +56,18 @@ def replenish(kept: DataFrame, pool: DataFrame, by: str, key: str, target: int,
     return left.filter(F.col("rank") < target - F.coalesce("__have", F.lit(0))).select(*pool.columns)
 
 
+def uncertain_round(pool: DataFrame, labelled: DataFrame, key: str, score: str, crisis: str, n: int, most_crisis: int = 10) -> DataFrame:
+    """One round of active learning: of the pool without what is labelled, the most uncertain records, at most `most_crisis`
+    of the crisis stratum first and of the others as many as make `n`. Ties go to the smaller key; null scores are never taken."""
+    open_ = pool.filter(F.col(score).isNotNull()).join(labelled.select(key).dropna().distinct(), key, "left_anti")
+    best = lambda rows, k: rows.orderBy(F.col(score).desc(), key).limit(k)
+    first = best(open_.filter(F.col(crisis)), most_crisis)
+    rest = best(open_.filter(~F.coalesce(F.col(crisis), F.lit(False))), n)
+    order = Window.orderBy(F.col("__c").desc(), F.col(score).desc(), key)  # at most n + most_crisis rows
+    both = first.withColumn("__c", F.lit(1)).unionByName(rest.withColumn("__c", F.lit(0)))
+    return both.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= n).drop("__n", "__c")
+
+
 def top_up(counts: Mapping[str, int], candidates: Sequence[tuple[str, Sequence[str]]], least: int = 15) -> list[str]:
     """Ids of candidates (id, labels), taken in order while one of their labels is below `least`; counts move as they are taken.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronotext.functions.macro import number_range
 from chronotext.operators import evaluation as e
 from chronotext.operators import relational as r
-from chronotext.operators.sampling import ranked
+from chronotext.operators.sampling import uncertain_round
 from chronotext.session import table
 
 SCALE = list(r.SCALE)
@@ -119,10 +119,11 @@ def purest_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def uncertain_by_stratum(spark: SparkSession, d: str) -> DataFrame:
-    """The ten records of crisis words and the thirty others of the largest uncertainty, by hash among equals."""
-    a = _probable(spark, d).select("id", (F.size("top_t") + F.length("sen_p")).alias("u"), F.array_contains("top_t", "financial_conditions").alias("crisis"))
-    top = ranked(a, ["crisis", "u"], "id").groupBy("crisis", "u").agg(F.count("*").alias("n"))
-    return top
+    """A round of 40 records by the entropy of a stand-in model, at most ten of them on financial conditions; test records count as labelled."""
+    a = _probable(spark, d).withColumn("k", F.conv(F.substring("id", 1, 6), 16, 10).cast("double"))
+    pool = a.select("id", F.round(r.entropy(F.array((F.col("k") + 1) / 33554434, 1 - (F.col("k") + 1) / 33554434)), 9).alias("u"), F.array_contains("top_t", "financial_conditions").alias("crisis"))
+    labelled = table(spark, d, "annotations").filter("split_name = 'test'")
+    return uncertain_round(pool, labelled, "id", "u", "crisis", 40).select("id", "crisis")
 
 
 def ranges_read(spark: SparkSession, d: str) -> DataFrame:
@@ -165,6 +166,6 @@ ORACLES = {
     "prompts": """WITH f AS (SELECT id, sentence, context_question AS c, 'Label this.' || chr(10) || 'Sentence: "' || sentence || '"' AS p FROM annotations WHERE sentence IS NOT NULL), g AS (SELECT id, CASE WHEN coalesce(c, '') <> '' THEN replace(p, 'Sentence: "' || sentence || '"', chr(10) || 'Context (question being answered): "' || c || '"' || chr(10) || 'Sentence: "' || sentence || '"') ELSE p END AS p FROM f) SELECT id, CAST(length(p) AS BIGINT) AS n_chars, md5(p) AS prompt FROM g""",
     "target_records": "SELECT id, sen AS sentiment, CASE WHEN hor THEN 'true' WHEN NOT hor THEN 'false' END AS horizon, top[1] AS first_topic FROM annotations",
     "purest_records": f"SELECT ris, CAST({' + '.join(f'(CASE WHEN {c} IS NOT NULL AND {c} NOT IN ({str(e.TRIVIAL)[1:-1]}) THEN 1 ELSE 0 END)' for c in ('ten', 'sen', chr(40) + 'CASE WHEN hor THEN ' + repr('True') + ' WHEN NOT hor THEN ' + repr('False') + ' END' + chr(41), 'com', 'ris', 'wid'))} + coalesce(len(list_filter(top, lambda z: z NOT IN ({str(e.TRIVIAL)[1:-1]}))), 0) + greatest(coalesce(len(top), 0) - 1, 0) AS BIGINT) AS purity, count(*) AS n FROM annotations WHERE sen <> '' GROUP BY 1, 2",
-    "uncertain_by_stratum": f"WITH {_PROBS} SELECT list_contains(top_t, 'financial_conditions') AS crisis, CAST(len(top_t) + length(sen_p) AS INT) AS u, count(*) AS n FROM ex GROUP BY 1, 2",
+    "uncertain_by_stratum": f"WITH {_PROBS}, p AS (SELECT id, (CAST('0x' || left(id, 6) AS INT) + 1) / 33554434 AS p, list_contains(top_t, 'financial_conditions') AS crisis FROM ex WHERE id NOT IN (SELECT id FROM annotations WHERE split_name = 'test' AND id IS NOT NULL)), u AS (SELECT id, crisis, round(-(p * ln(p) + (1 - p) * ln(1 - p)), 9) AS u FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY crisis ORDER BY u DESC, id) AS o FROM u) SELECT id, crisis FROM n WHERE crisis AND o <= 10 OR NOT crisis AND o <= 40 - (SELECT count(*) FROM n WHERE crisis AND o <= 10)",
     "ranges_read": "SELECT p_partkey, CAST(p_size + 1.5 AS DOUBLE) AS middle FROM part",
 }

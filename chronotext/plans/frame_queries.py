@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronotext.functions import macro
 from chronotext.functions.dates import any_year
 from chronotext.operators import frames as f
+from chronotext.operators import relational as r
 from chronotext.operators import temporal as t
 from chronotext.operators import vintages as vt
 from chronotext.plans.known_vintages import plain_number
@@ -146,7 +147,25 @@ def quarter_join(spark: SparkSession, d: str) -> DataFrame:
     return both.select("quarter", "orders", "items", F.date_format(macro.quarter_end(F.col("quarter")), "yyyy-MM-dd").alias("ends"))
 
 
-NAMES = [union_by_name, key_guard, common_keys, monthly_join, index_join, outer_of_three, direction_counts, regime_masks, correlation_matrix, largest_rows, panel_columns, encoded_labels, eras, excluded_prefixes, subset_sizes, needed_vintages, revisions, vintage_snapshot, quarter_join]
+def calendar_math(spark: SparkSession, d: str) -> DataFrame:
+    """Months apart, contracts by months ahead, the next date of the customer, stars and a search by part of a name."""
+    o = table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate")).withColumn("meeting", F.date_add("day", (F.col("o_orderkey") % 90).cast("int")))
+    p = F.array(*[F.lit(95.0) + i for i in range(3)])
+    made = o.withColumns({
+        "months": macro.months_apart(F.col("day"), F.col("meeting")), "price": macro.contract_price(F.col("day"), F.col("meeting"), p), "next": t.next_date("day", ["o_custkey"], ["day", "o_orderkey"]),
+        "mark": macro.stars((F.col("o_orderkey") % 20) / 100), "urgent": r.contains_text(F.col("o_orderpriority"), "Urgent"), "gap": macro.gap(F.when(F.col("o_orderkey") % 3 > 0, 4.5), 2.0),
+    })
+    made = made.withColumn("rate", macro.simple_implied_rate(F.col("price"), F.lit(97.5)))
+    return made.select("o_orderkey", *r.columns_with(made, ["months", "mark", "urgent", "gap", "rate"]), F.date_format("next", "yyyy-MM-dd").alias("next"))
+
+
+def long_names(spark: SparkSession, d: str) -> DataFrame:
+    """Label counts under the long field names."""
+    a = table(spark, d, "annotations").select("ten", "com", "hor").withColumnsRenamed(r.LONG_NAMES)
+    return a.groupBy("tense", "commitment", "horizon").agg(F.count("*").alias("n"))
+
+
+NAMES = [calendar_math, long_names, union_by_name, key_guard, common_keys, monthly_join, index_join, outer_of_three, direction_counts, regime_masks, correlation_matrix, largest_rows, panel_columns, encoded_labels, eras, excluded_prefixes, subset_sizes, needed_vintages, revisions, vintage_snapshot, quarter_join]
 QUERIES = {q.__name__: q for q in NAMES}
 _OBS = r"ob AS (SELECT series, obs_id, obs_date, CAST(realtime_start AS DATE) AS vintage, CAST(regexp_replace(value, '^\s+|\s+$', '', 'g') AS DOUBLE) AS x FROM vintage_obs WHERE regexp_full_match(regexp_replace(value, '^\s+|\s+$', '', 'g'), '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)') AND series IS NOT NULL AND obs_date IS NOT NULL AND realtime_start IS NOT NULL)"
 _COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -154,6 +173,8 @@ _MASK = {"flag_above_median": "{c} > (SELECT median({c}) FROM lineitem)", "flag_
 _YEAR = r"coalesce(CASE WHEN regexp_matches(trim(date), '^\d{4}-\d{1,2}-\d{1,2}') THEN CAST(left(trim(date), 4) AS INT) WHEN regexp_full_match(trim(date), '\d{8}') THEN year(try_strptime(trim(date), '%Y%m%d')) WHEN regexp_full_match(trim(date), '\d{4}') THEN CAST(trim(date) AS INT) END, TRY_CAST(nullif(regexp_extract(trim(date), '\b((?:19|20)\d{2})\b', 1), '') AS INT))"
 _REG = ", ".join(f"row({' + '.join(f'CAST(contains(s, {w!r}) AS INT)' for w in ws)}, {-i}, {k!r})" for i, (k, ws) in enumerate(REGIMES.items()))
 ORACLES = {
+    "calendar_math": "WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INT) AS meeting FROM orders), m AS (SELECT *, CAST((year(meeting) - year(day)) * 12 + month(meeting) - month(day) AS INT) AS months FROM o) SELECT o_orderkey, months, CASE WHEN o_orderkey % 20 < 1 THEN '***' WHEN o_orderkey % 20 < 5 THEN '**' WHEN o_orderkey % 20 < 10 THEN '*' ELSE '' END AS mark, o_orderpriority ILIKE '%urgent%' AS urgent, CASE WHEN o_orderkey % 3 > 0 THEN CAST(2.5 AS DOUBLE) END AS gap, CAST(100 - coalesce(CASE WHEN months < 3 THEN 95 + months END, 97.5) AS DOUBLE) AS rate, strftime(coalesce(lead(day) OVER (PARTITION BY o_custkey ORDER BY day, o_orderkey), day + 45), '%Y-%m-%d') AS next FROM m",
+    "long_names": "SELECT ten AS tense, com AS commitment, hor AS horizon, count(*) AS n FROM annotations GROUP BY 1, 2, 3",
     "union_by_name": "SELECT c_name AS name, c_nationkey AS nation, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_nationkey, NULL FROM supplier",
     "key_guard": "WITH a AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders), b AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem) SELECT day, 'left' AS side FROM a WHERE day NOT IN (SELECT day FROM b) UNION ALL SELECT day, 'right' FROM b WHERE day NOT IN (SELECT day FROM a)",
     "common_keys": "SELECT c_custkey AS k, c_custkey IN (SELECT o_custkey FROM orders) AS has FROM customer",

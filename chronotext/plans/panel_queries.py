@@ -44,11 +44,15 @@ def stratified_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def group_sample_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return r.sample_per_group(table(spark, d, "orders"), ["o_orderpriority"], "o_orderkey", 150).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("n_keys"))
+    """Samples of 150 of each priority, drawn twice from differently placed rows: how many there are and how many agree."""
+    o = table(spark, d, "orders")
+    a, b = (r.sample_per_group(x, ["o_orderpriority"], "o_orderkey", 150) for x in (o, o.repartition(5, "o_custkey")))
+    return a.join(b.select("o_orderkey", F.lit(1).alias("same")), "o_orderkey", "left").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count("same").alias("n_same"))
 
 
 def proportional_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return s.proportional(table(spark, d, "events"), "event_type", "event_id", 100).agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("n_types"))
+    """How many of 100 events each type gets."""
+    return s.proportional(table(spark, d, "events"), "event_type", "event_id", 100).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("n_keys"))
 
 
 def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
@@ -72,8 +76,8 @@ ORACLES = {
     "meeting_panel": _SCORES + " SELECT strftime(m, '%Y-%m-%d') AS m, " + ", ".join(f"(SELECT arg_max(score, day) FROM sc WHERE doc_type = '{k}' AND day <= m) AS {k}" for k in TYPES) + ", (SELECT arg_max(score, day) FROM po WHERE day <= m) AS pooled FROM m",
     "window_rollup": _SCORES + ", w AS (SELECT *, (SELECT min(m) FROM m WHERE m >= day) AS e FROM sc WHERE doc_type = 'speech' AND day IS NOT NULL) SELECT strftime(e, '%Y-%m-%d') AS m, sum(score) AS score, CAST(sum(n) AS BIGINT) AS n, round(avg(sd) + 1e-9, 5) AS sd, round(avg(var) + 1e-9, 5) AS var FROM w GROUP BY 1",
     "stratified_sizes": "WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1) SELECT o_orderpriority, 'train' AS split, CAST(round(n * 0.7) AS BIGINT) AS n FROM c UNION ALL SELECT o_orderpriority, 'validation', CAST(round(n * 0.85) - round(n * 0.7) AS BIGINT) FROM c UNION ALL SELECT o_orderpriority, 'test', CAST(n - round(n * 0.85) AS BIGINT) FROM c",
-    "group_sample_sizes": "SELECT o_orderpriority, least(150, count(*)) AS n, least(150, count(*)) AS n_keys FROM orders GROUP BY 1",
-    "proportional_sizes": "SELECT least(100, count(*)) AS n, count(DISTINCT event_type) AS n_types FROM events",
+    "group_sample_sizes": "SELECT o_orderpriority, least(150, count(*)) AS n, least(150, count(*)) AS n_same FROM orders GROUP BY 1",
+    "proportional_sizes": "WITH c AS (SELECT event_type, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM events WHERE event_type IS NOT NULL) AS x FROM events WHERE event_type IS NOT NULL GROUP BY 1), b AS (SELECT *, least(n, greatest(1, floor(x))) AS f FROM c), o AS (SELECT *, row_number() OVER (ORDER BY x - floor(x) DESC, event_type) AS r FROM b) SELECT event_type, CAST(f + CASE WHEN r <= 100 - (SELECT sum(f) FROM b) THEN 1 ELSE 0 END AS BIGINT) AS n, CAST(f + CASE WHEN r <= 100 - (SELECT sum(f) FROM b) THEN 1 ELSE 0 END AS BIGINT) AS n_keys FROM o",
     "rank_correlation": "WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2 AS b FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL) SELECT l_returnflag, round(corr(a, b), 6) AS spearman, count(*) AS n FROM r GROUP BY 1",
     "union_columns": "SELECT strftime(day, '%Y-%m-%d') AS day, n_orders, n_items FROM (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n_orders FROM orders GROUP BY 1) a FULL JOIN (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n_items FROM lineitem GROUP BY 1) b USING (day)",
 }

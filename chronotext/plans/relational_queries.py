@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronotext.functions.text import normalized
 from chronotext.operators import relational as r
 from chronotext.session import table
+from chronotext.sources.writers import numbered
 
 TOPICS = ["inflation", "labor_market", "economic_activity", "financial_conditions", "monetary_policy"]
 
@@ -91,7 +93,7 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def duplicate_texts(spark: SparkSession, d: str) -> DataFrame:
     """Groups of records with one normalised text (lower case, without punctuation, single blanks): pre-aggregated, no pairs."""
-    norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower("sentence"), "[!-/:-@\\[-`{-~]", ""), r"[ \t\n\r]+", " "))
+    norm = normalized(F.translate("sentence", "\x0b", "\t"))
     return table(spark, d, "annotations").filter("sentence is not null").groupBy(norm.alias("text")).agg(F.count_distinct("id").alias("n_ids"), F.min("id").alias("first_id")).filter("n_ids > 1")
 
 
@@ -147,10 +149,7 @@ def rate_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batches(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, d, "events").select("event_id", "user_id", F.ceil(n / 15).alias("batch"))
+    return numbered(table(spark, d, "events"), "user_id", "event_id", 15).select("event_id", "user_id", "batch")
 
 
 NAMES = [value_map, document_aggregate, transforms, order_statistics, unpivot_events, pivot_first, label_metrics, summary_score, confusion, multilabel, topic_counts, error_patterns, coverage, duplicate_texts, pool_minus_seeds, seeds_in_pool, top_uncertain, reliability, strategy_metrics, speaker_sets, json_field, regression, rate_path, batches]
@@ -175,7 +174,7 @@ ORACLES = {
     "topic_counts": _SCORED + " SELECT topic, count(*) AS n, sum(score) AS total, count(*) FILTER (score > 0) AS n_up FROM (SELECT unnest(topics) AS topic, score FROM sc) GROUP BY 1",
     "error_patterns": _LAB + " SELECT truth, predicted, count(*) AS n FROM lab WHERE truth <> predicted GROUP BY 1, 2 ORDER BY n DESC, truth, predicted LIMIT 10",
     "coverage": "SELECT split_name, count(*) AS n, count(sentence) AS n_sentence, count(source) AS n_source, count(date) AS n_date, count(hor) AS n_hor, count(top) AS n_top FROM annotations GROUP BY 1",
-    "duplicate_texts": r"SELECT trim(regexp_replace(regexp_replace(lower(sentence), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\n\r]+', ' ', 'g')) AS text, count(DISTINCT id) AS n_ids, min(id) AS first_id FROM annotations WHERE sentence IS NOT NULL GROUP BY 1 HAVING count(DISTINCT id) > 1",
+    "duplicate_texts": r"SELECT regexp_replace(regexp_replace(regexp_replace(lower(replace(sentence, chr(11), chr(9))), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g'), '^ +| +$', '', 'g') AS text, count(DISTINCT id) AS n_ids, min(id) AS first_id FROM annotations WHERE sentence IS NOT NULL GROUP BY 1 HAVING count(DISTINCT id) > 1",
     "pool_minus_seeds": "SELECT DISTINCT id FROM annotations WHERE split_name = 'train' AND id NOT IN (SELECT id FROM annotations WHERE sen <> '')",
     "seeds_in_pool": "SELECT DISTINCT id, board FROM annotations WHERE split_name IN ('validation', 'test') AND id IN (SELECT id FROM annotations WHERE sen <> '')",
     "top_uncertain": "WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS q FROM embeddings), p AS (SELECT vec_id, unnest(q) / list_sum(q) AS p FROM q) SELECT vec_id, round(-sum(CASE WHEN p > 0 THEN p * ln(p) END), 4) AS entropy FROM p GROUP BY 1 ORDER BY entropy DESC, vec_id LIMIT 20",

@@ -20,11 +20,12 @@ def gardner_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def gardner_rules(spark: SparkSession, d: str) -> DataFrame:
     """What rules alone give: informative sentences, their words, the policy score and the long phrases of each category."""
-    kept = table(spark, d, "documents").select("doc_id", F.filter(g.light_sentences(F.col("text")), lambda s: ~g.uninformative(s)).alias("kept"))
+    low = table(spark, d, "documents").select("doc_id", F.transform(g.light_sentences(F.col("text")), F.lower).alias("low"))
+    kept = low.select("doc_id", F.filter("low", lambda s: ~g.uninformative(s, lowered=True)).alias("kept")).withColumn("clean", F.transform("kept", g.bare))
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, y: a + y).cast("bigint")
-    phrases = lambda c: total(F.transform("kept", lambda s: F.coalesce(g.override(g.bare(s), c), F.lit(0))))
+    phrases = lambda c: total(F.transform("clean", lambda s: F.coalesce(g.override(s, c), F.lit(0))))
     return kept.select(
-        "doc_id", F.size("kept").cast("bigint").alias("n_sentences"), total(F.transform("kept", g.words_in)).alias("n_words"), total(F.transform("kept", lambda s: g.first_rule(s, v.POLICY))).alias("policy"),
+        "doc_id", F.size("kept").cast("bigint").alias("n_sentences"), total(F.transform("kept", g.words_in)).alias("n_words"), total(F.transform("kept", lambda s: g.first_rule(s, v.POLICY, lowered=True))).alias("policy"),
         *[phrases(c).alias(f"phrases_{c}") for c in g.CATEGORIES],
     )
 

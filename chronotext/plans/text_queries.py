@@ -31,7 +31,7 @@ def net_tone(spark: SparkSession, d: str) -> DataFrame:
 
 def tone_per_document(spark: SparkSession, d: str) -> DataFrame:
     """Net tone and words of the informative sentences of each board and type."""
-    a = _a(spark, d).filter(~g.uninformative(F.col("sentence"))).withColumns({"net": g.net_words(F.col("sentence")), "n": F.size(g.bare_tokens(F.col("sentence")))})
+    a = _a(spark, d).withColumn("low", F.lower("sentence")).filter(~g.uninformative(F.col("low"), lowered=True)).withColumns({"net": g.net_words(F.col("sentence")), "n": F.size(g.bare_tokens(F.col("sentence")))})
     return a.groupBy("board", "doc_type").agg(F.count("*").alias("n"), F.sum("net").alias("net"), F.sum("n").alias("words"))
 
 

@@ -30,10 +30,14 @@ def append_missing(spark: SparkSession, rows: DataFrame, path: str, key: str) ->
     return before
 
 
+def numbered(rows: DataFrame, by: str, order: str, size: int = 15) -> DataFrame:
+    """rows with `batch`, from 1, of `size` rows in the order within each group."""
+    return rows.withColumn("batch", F.ceil(F.row_number().over(Window.partitionBy(by).orderBy(order)) / size))
+
+
 def batches(rows: DataFrame, path: str, by: str, order: str, size: int = 15) -> None:
     """Files of `size` rows per group, as folders by group and batch."""
-    n = F.ceil(F.row_number().over(Window.partitionBy(by).orderBy(order)) / size)
-    rows.withColumn("batch", n).write.mode("overwrite").partitionBy(by, "batch").json(path)
+    numbered(rows, by, order, size).write.mode("overwrite").partitionBy(by, "batch").json(path)
 
 
 def swap(rows: DataFrame, path: str) -> str:

@@ -103,3 +103,10 @@ def test_cosine_novelty(spark):
     got = {r["id"]: r["novelty"] for r in cosine_novelty(df, "id", "t", ["g"], ["id"]).collect()}
     assert got[1] is None and got[2] == pytest.approx(0, abs=1e-9) and got[3] == pytest.approx(1) and got[5] is None and got[6] is None and 4 not in got
     assert cosine_novelty(df.limit(0), "id", "t", ["g"], ["id"]).count() == 0
+
+
+def test_fragments_are_repaired(spark):
+    rows = [("This was broad.",), ("Prices rose.",), ("Wages fell.",), (None,), ("",)]
+    s = F.array(*map(F.lit, ["Prices rose.", "This was broad.", "Wages fell."]))
+    got = [r[0] for r in spark.createDataFrame(rows, "v string").select(u.repaired(s, F.col("v"))).collect()]
+    assert got == ["Prices rose. This was broad.", "Prices rose.", "Wages fell.", None, ""]
