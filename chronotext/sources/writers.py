@@ -40,8 +40,21 @@ def batches(rows: DataFrame, path: str, by: str, order: str, size: int = 15) ->
     numbered(rows, by, order, size).write.mode("overwrite").partitionBy(by, "batch").json(path)
 
 
-def swap(rows: DataFrame, path: str) -> str:
-    """Replace the table at `path` by rows that may be read from it; returns the folder of the new version.
+def swap(rows: DataFrame, path: str) -> None:
+    """Replace the table at a path by rows that may be read from it: staged beside it, then renamed by the file system of the path.
+
+    Where renaming is no single step (object stores), or readers must never miss the table, use `publish`.
+    """
+    fs, at = _files(rows.sparkSession, path)
+    rows.write.mode("overwrite").parquet(f"{path}.staged")
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(f"{path}.old"))
+    fs.rename(at(f"{path}.staged"), at(path))
+    fs.delete(at(f"{path}.old"), True)
+
+
+def publish(rows: DataFrame, path: str) -> str:
+    """Replace the versioned table at `path` by rows that may be read from it; returns the folder of the new version.
 
     A version is a folder of its own, and the small file CURRENT names the one that counts; it is written last. So no
     reader sees half a table, whatever the file system, and nothing is renamed. Earlier versions but the last go.
@@ -73,7 +86,7 @@ def _files(spark: SparkSession, path: str):
 
 
 def current(spark: SparkSession, path: str) -> str | None:
-    """The version that counts at a swapped path, None before the first."""
+    """The version that counts at a published path, None before the first."""
     fs, at = _files(spark, path)
     if not fs.exists(at(f"{path}/CURRENT")):
         return None

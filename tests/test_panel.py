@@ -146,7 +146,7 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.json_array(df.limit(0), str(tmp_path / "none"))
     assert json.loads(next((tmp_path / "none").glob("part*")).read_text()) == []
     for k in range(3):
-        writers.swap((writers.read_current(spark, str(tmp_path / "t")) if k else df).select((F.col("id") + 1).alias("id")), str(tmp_path / "t"))
+        writers.publish((writers.read_current(spark, str(tmp_path / "t")) if k else df).select((F.col("id") + 1).alias("id")), str(tmp_path / "t"))
     assert sorted(r["id"] for r in writers.read_current(spark, str(tmp_path / "t")).collect()) == [3, 4, 5, 6, 7]
     writers.append_log(df.select("id"), str(tmp_path / "log"))
     writers.append_log(df.select("id"), str(tmp_path / "log"))
