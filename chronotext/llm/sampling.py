@@ -115,6 +115,27 @@ def whole_numbers(x: np.ndarray, room: np.ndarray) -> np.ndarray:
     return out
 
 
+def round_up(quota: dict[tuple[str, str], int], leaves: dict[tuple[str, str], int], wanted: dict[str, int]) -> None:
+    """Make up for what rounding left short of a topic: one record at a time, within a type, from leaves that can spare it.
+
+    A leaf can spare if none of its topics falls below its own number by it; a few records at most are moved.
+    """
+    have = {n: sum(q for k, q in quota.items() if n in members(k[1])) for n in wanted}
+    for n in sorted(wanted):
+        for k in sorted(k for k in leaves if n in members(k[1])):
+            for g in sorted((g for g in quota if g[0] == k[0] and n not in members(g[1])), key=lambda g: (-quota[g], g)):
+                rest = [m for m in members(g[1]) if m in wanted and m not in members(k[1])]
+                while have[n] < wanted[n] and quota.get(k, 0) < leaves[k] and quota[g] > 0 and all(have[m] > wanted[m] for m in rest):
+                    quota[g] -= 1
+                    quota[k] = quota.get(k, 0) + 1
+                    for m in members(g[1]):
+                        if m in have:
+                            have[m] -= 1
+                    for m in members(k[1]):
+                        if m in have:
+                            have[m] += 1
+
+
 def allocate(sample: int, tree: dict[str, dict[str, int]], types: dict[str, tuple[float, int]], tops: dict[str, tuple[float, int]]) -> dict[tuple[str, str], int]:
     """Quota of each leaf (type, topics) from the available numbers in `tree`; types, tops: (share, minimum).
 
@@ -151,6 +172,7 @@ def allocate(sample: int, tree: dict[str, dict[str, int]], types: dict[str, tupl
         for k, g in more.items():
             quota[k] = quota.get(k, 0) + g
         over -= sum(more.values())
+    round_up(quota, leaves, {n: min(wanted_number(tops[n][0], 0, sample), sum(c for k, c in leaves.items() if n in members(k[1]))) for n in names})
     for named, mine_of in ((types, lambda k, n: k[0] == n), (tops, lambda k, n: n in members(k[1]))):
         for name, (_, least) in sorted(named.items()):
             mine = [k for k in leaves if mine_of(k, name)]

@@ -250,3 +250,10 @@ def test_topic_quota_moves_to_other_types():
     tree = {"a": {"t": 0, sampling.REST: 500}, "b": {"t": 300, sampling.REST: 500}}
     q = sampling.allocate(100, tree, {"a": (0.5, 1), "b": (0.5, 1)}, {"t": (0.4, 1)})
     assert sum(q.values()) == 100 and abs(q["b", "t"] - 40) <= 1
+
+
+def test_rounding_leaves_no_topic_short():
+    tree = {"a": {"t": 300, "u": 300, sampling.REST: 500}, "b": {"t|u": 50, "u": 400, sampling.REST: 600}}
+    q = sampling.allocate(333, tree, {"a": (0.5, 1), "b": (0.5, 1)}, {"t": (0.17, 1), "u": (0.23, 1)})
+    got = {n: sum(c for (_, k), c in q.items() if n in sampling.members(k)) for n in "tu"}
+    assert sum(q.values()) == 333 and got["t"] >= 57 and got["u"] >= 77 and all(c <= tree[t][k] for (t, k), c in q.items())
