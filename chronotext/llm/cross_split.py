@@ -179,7 +179,7 @@ def across_pairs(rows: DataFrame, measure: sets.Measure, fingerprints: bool = Tr
     limit = measure.table()
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, code, key in sets.by_bucket(batches):
+        for bucket, code, key, _ in sets.by_bucket(batches):
             code, key, _ = sets.in_order(code, key)
             turn = -1 if bucket >= first[2] else 1
             yield sets.key_pairs([np.stack(p[::turn]) for p in sets.meetings(code, key, limit, cross=True) if len(p[0])])

@@ -4,7 +4,10 @@ A text is the set of its distinct words. Two sets of n and m words have similari
 d(n + m) words. The word universe is cut into G = d // 2 + 1 groups; then at least one group differs in at most one
 word, so that its words on the one side are, whole or without one word, its words on the other side. Each set therefore
 enumerates, for each group, the whole group and its subsets of one word less, and sets meet on equal subsets: nothing
-is lost. Because d grows with the sizes, the sums n + m are cut into bands, each with its own G; a set takes part in the
+is lost. Every set is listed so, but not every set asks everywhere: of two sets the larger asks, and a set of n words is
+sure to meet its partners if its groups allow d + 1 differences in all, where a group asked in whole allows one, a group
+asked with one word more or less two, and one not asked none. The groups have some to spare, so each set leaves out its
+most crowded signatures. Because d grows with the sizes, the sums n + m are cut into bands, each with its own G; a set takes part in the
 bands its possible partners reach. Bands of large sets may instead scan inverted lists of the rarest words (any two
 similar sets share one among the first n - ceil(t n) + 1 in a fixed order). Bands, and from where on lists are
 scanned, are chosen by cost from the size histogram of all rows and from a sample that shapes only the plan: groups and
@@ -13,10 +16,12 @@ word order may be any, the result is the same.
 What travels is one packed block of postings per task and bucket: 3 bytes of signature and an 8-byte key made of the
 parity of the word hashes (57 bits) and the size (7 bits). Two keys bound the difference of their sets from below, so
 nearly all chance meetings are dropped by xor and popcount before anything is fetched; what is left is checked exactly
-against the texts.
+against the texts. Under crowded signatures, whose meetings grow as the square of their postings, a second parity of 64
+bits goes along, so that chance pairs there do not outgrow the true ones.
 
 Skew: exact copies collapse to one key inside a task and again in a bucket; signatures of more than CELL_POSTINGS
-expected postings are spread over a grid of cells in which every pair still meets, as wide as their number asks for.
+expected postings are spread over cells, as many as their number asks for: a set is listed in one and asks in all. Across
+two kinds, over a grid of cells in which every pair still meets.
 
 Across two kinds of sets (training and evaluation) only pairs of different kinds meet: the whole groups of the one with
 the groups of the other, and in buckets of their own the other way round.
@@ -25,7 +30,6 @@ the groups of the other, and in buckets of their own the other way round.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -39,13 +43,19 @@ from pyspark.sql import functions as F
 from chronotext.llm.common import draw_limit, drawn, hash_of
 from chronotext.session import cut_lineage, ship_package, shuffle_partitions
 
-WORD = re.compile("[a-z0-9]+")
+#: For bytes: letters and figures stay, all else is a blank.
+WORD_BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 U = np.uint64
 PARITY, SIZE_BITS = 57, 7
 CODE_BITS = 23
 #: Sample of sets from which the plan is shaped, postings of one bucket, postings of a signature in one cell of its grid,
 #: the widest grid.
 SAMPLE, BUCKET_POSTINGS, CELL_POSTINGS, WIDEST = 8_000, 1_500_000, 8_000, 64
+#: What a posting does beside its kind: it is listed, or also asks the whole groups of its signature, or these and the
+#: subsets; or it asks without being listed. WIDE is added if a second parity goes along, as it does for signatures of
+#: more than WIDE_POSTINGS expected postings. Bits of the table of crowds; most that a set leaves out.
+LISTED, WHOLE, ALL, ONLY_WHOLE, ONLY_ALL = range(5)
+WIDE, WIDE_POSTINGS, ASK_BITS, CROWD_BITS, LEFT_OUT = 8, 4_000, 4, 18, 6
 #: Bits of a filter for each value, the most bits of a filter (16 MB); beyond, values are looked up by a join. Bits of a slice.
 VALUE_BITS, MOST_BITS, SLICE_BITS = 8, 1 << 27, 1 << 20
 
@@ -55,7 +65,8 @@ NAMED = ["key", "content", "low", "high"]
 
 
 def words(sentence: str) -> list[str]:
-    return WORD.findall(sentence.lower())
+    """The longest runs of a-z and 0-9 in the lower-cased sentence."""
+    return sentence.lower().encode("ascii", "replace").translate(WORD_BYTES).decode("ascii").split()
 
 
 def _hash(word: str) -> int:
@@ -117,7 +128,7 @@ def read_sets(sentences: Iterable[str | None], least: int, vocabulary: Vocabular
     for i, s in enumerate(sentences):
         if s is None:
             continue
-        w = set(WORD.findall(s.lower()))
+        w = set(words(s))
         if len(w) >= least:
             rows.append(i)
             sizes.append(len(w))
@@ -133,8 +144,13 @@ def keys_of(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return (np.bitwise_xor.reduceat(bits, starts) << U(SIZE_BITS)) | np.minimum(sizes, 127).astype(U)
 
 
+def second_parity(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Parity of 64 bits by another hash than that of the keys."""
+    return np.bitwise_xor.reduceat(U(1) << (mix(hashes ^ U(0x3C6EF372FE94F82B)) % U(64)), starts) if len(starts) else np.zeros(0, U)
+
+
 def wide_parity(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A second parity of the word hashes, of 128 bits in two numbers, by another hash than that of the keys."""
+    """A third parity of the word hashes, of 128 bits in two numbers, by another hash than the others."""
     if not len(starts):
         return np.zeros(0, U), np.zeros(0, U)
     at = mix(hashes ^ U(0xA5A5A5A5DEADBEEF)) % U(128)
@@ -189,6 +205,17 @@ class Band:
     group_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int16))  # by place in Plan.known
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, U))  # sorted signatures that are spread over cells
     grid: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # how many rows and columns of cells
+    need: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # by size: differences its groups have to allow, 0 if it need not ask
+    often: np.ndarray = field(default_factory=lambda: np.zeros(0, U))  # signatures that occur more than once in the sample
+    times: np.ndarray = field(default_factory=lambda: np.zeros((2, 0), np.float32))  # as whole group, as subset
+    wide: float = np.inf  # from so many times on, a second parity goes along
+
+    def crowds(self) -> np.ndarray:
+        """(2, 2^CROWD_BITS): how often signatures of these upper bits occur in the sample, whole and as subset."""
+        out = np.zeros((2, 1 << CROWD_BITS), np.float32)
+        for row, times in zip(out, self.times):
+            np.maximum.at(row, (self.often >> U(64 - CROWD_BITS)).astype(np.int64), times)
+        return out
 
 
 @dataclass
@@ -217,7 +244,7 @@ def balanced_groups(flat: np.ndarray, sizes: np.ndarray, count: int, groups: int
 
 
 def group_signatures(sets: Sets, hashes: np.ndarray, group: np.ndarray, groups: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, owner, kind) of each whole group (kind 0) and of each subset of one word less (kind 1)."""
+    """(signature, cell, kind) of each whole group (kind 0) and of each subset of one word less (kind 1); cell: owner * groups + group."""
     n = len(sets.sizes)
     cell = sets.owner * groups + group
     whole = np.zeros(n * groups, U)
@@ -225,7 +252,7 @@ def group_signatures(sets: Sets, hashes: np.ndarray, group: np.ndarray, groups:
     own = (np.arange(n * groups) % groups).astype(U) * U(0x9E3779B97F4A7C15) + U(salt)
     return (
         np.concatenate([mix(whole ^ own), mix((whole[cell] - hashes) ^ own[cell])]),
-        np.concatenate([np.repeat(np.arange(n), groups), sets.owner]),
+        np.concatenate([np.arange(n * groups), cell]),
         np.repeat(np.array([0, 1], np.int8), [n * groups, len(hashes)]),
     )
 
@@ -240,13 +267,15 @@ def list_signatures(sets: Sets, hashes: np.ndarray, rank: np.ndarray, measure: M
     return mix(hashes[first] ^ U(salt)), owner[first], np.zeros(len(first), np.int8)
 
 
-def signatures(sets: Sets, hashes: np.ndarray, plan: Plan, place: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hashes, place: of each word of `sets`; place: in plan.known, -1 if not there."""
+def signatures(sets: Sets, hashes: np.ndarray, plan: Plan, place: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, owner, kind, cell). hashes, place: of each word of `sets`; place: in plan.known, -1 if not there."""
     b, salt = plan.bands[band], 0x5851F42D4C957F2D * (band + 1) & (2**64 - 1)
     if b.lists:
-        return list_signatures(sets, hashes, np.where(place < 0, 0, plan.rank[place]), plan.measure, salt)
+        s, owner, kind = list_signatures(sets, hashes, np.where(place < 0, 0, plan.rank[place]), plan.measure, salt)
+        return s, owner, kind, owner
     group = np.where(place < 0, (hashes % U(b.groups)).astype(np.int64), b.group_of[place])
-    return group_signatures(sets, hashes, group, b.groups, salt)
+    s, cell, kind = group_signatures(sets, hashes, group, b.groups, salt)
+    return s, cell // b.groups, kind, cell
 
 
 def places(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -317,120 +346,185 @@ def make_plan(measure: Measure, histogram: dict[int, int], sample: list[str], fi
         best[edges[j]] = min(options, key=lambda x: x[0])
     bands = best[edges[-1]][1]
     plan = Plan(measure, bands, known, df, fixed_buckets)
+    asks = (sizes[None, :] <= sizes[:, None]) | (sizes[:, None] >= 127)  # keys don't tell sizes from 127 on apart
     postings = 0.0
     for i, b in enumerate(bands):
         b.group_of = groups_for(b.groups)[0]
         keep = b.member[np.minimum(sets.sizes, len(b.member) - 1)]
-        s, _, _ = signatures(part := sets.take(keep), hashes[part.flat], plan, here[part.flat], i)
+        s, _, kind, _ = signatures(part := sets.take(keep), hashes[part.flat], plan, here[part.flat], i)
         u, c = np.unique(s, return_counts=True)
         expected = c * counts.sum() / sampled
         often = (c >= 8) & (expected > 2 * CELL_POSTINGS)
         b.hot, b.grid = u[often], np.minimum(WIDEST, -(-expected[often] // CELL_POSTINGS)).astype(np.int64)
+        b.need = np.zeros(len(b.member), np.int64)
+        b.need[sizes] = np.where(fits & asks & (total > b.low) & (total <= b.high), d[total] + 1, 0).max(1)
+        b.wide = WIDE_POSTINGS * sampled / counts.sum()
+        b.often, at = u[c > 1], np.flatnonzero(c > 1)
+        b.times = np.stack([np.bincount(np.searchsorted(u, s[kind == k]), minlength=len(u))[at] for k in (0, 1)]).astype(np.float32)
         postings += len(s) * counts.sum() / sampled
     plan.buckets = max(fixed_buckets, int(postings / BUCKET_POSTINGS) + 1)
     return plan
 
 
-def cells(keys: np.ndarray, grid: np.ndarray, role: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(place, cell): each key of a frequent signature goes to `grid` cells such that any two keys meet in one of them.
-
-    role: then keys of role 0 go to a row of cells and those of role 1 to a column, so that any two across meet.
+def cells(keys: np.ndarray, grid: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, cell): each key of a frequent signature goes to `grid` cells: those of role 0 to a row of cells and those
+    of role 1 to a column, so that any two across meet.
     """
     at = np.repeat(np.arange(len(keys)), grid)
     other = np.arange(len(at)) - np.repeat(np.cumsum(grid) - grid, grid)
     mine = (mix(keys[at]) % np.maximum(grid[at], 1).astype(U)).astype(np.int64)
-    if role is None:
-        return at, np.minimum(mine, other) * WIDEST + np.maximum(mine, other)
     return at, np.where(role[at] == 0, mine * WIDEST + other, other * WIDEST + mine)
 
 
-def spread_hot(sig: np.ndarray, key: np.ndarray, kind: np.ndarray, band: Band, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def listed_and_asking(keys: np.ndarray, kind: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, cell, kind): each key of a frequent signature is listed in one of `grid` cells, and asks, if it does, in all."""
+    asks = (kind >> 1) & (WIDE - 1)
+    asking = np.flatnonzero(asks)
+    at = np.repeat(asking, grid[asking])
+    every = np.arange(len(at)) - np.repeat(np.cumsum(grid[asking]) - grid[asking], grid[asking])
+    own = (mix(keys) % np.maximum(grid, 1).astype(U)).astype(np.int64)
+    return np.r_[np.arange(len(keys)), at], np.r_[own, every], np.r_[kind - (asks << 1), kind[at] + ((ONLY_WHOLE - WHOLE) << 1)]
+
+
+def spread_hot(sig: np.ndarray, key: np.ndarray, kind: np.ndarray, band: Band, across: bool, *others: np.ndarray) -> tuple[np.ndarray, ...]:
     """Postings with those of frequent signatures spread over cells."""
     if not len(band.hot):
-        return sig, key, kind
+        return sig, key, kind, *others
     place = places(band.hot, sig)
     hot = place >= 0
-    at, cell = cells(key[hot], band.grid[place[hot]], kind[hot] if across else None)
-    return tuple(np.concatenate(p) for p in ((sig[~hot], mix(sig[hot][at] + cell.astype(U))), (key[~hot], key[hot][at]), (kind[~hot], kind[hot][at])))
+    if across:
+        at, cell = cells(key[hot], band.grid[place[hot]], kind[hot])
+        more = kind[hot][at]
+    else:
+        at, cell, more = listed_and_asking(key[hot], kind[hot], band.grid[place[hot]])
+    return (
+        np.concatenate([sig[~hot], mix(sig[hot][at] + cell.astype(U))]),
+        np.concatenate([key[~hot], key[hot][at]]),
+        np.concatenate([kind[~hot], more]),
+        *(np.concatenate([x[~hot], x[hot][at]]) for x in others),
+    )
+
 
+def pack(sig: np.ndarray, keys: np.ndarray, kind: np.ndarray, buckets: int, first: int = 0, second: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """Blocks by bucket, numbered from `first`: sorted codes (asks, signature bits, kind) as deltas, the keys, second parities.
 
-def pack(sig: np.ndarray, keys: np.ndarray, kind: np.ndarray, buckets: int, first: int = 0) -> Iterator[tuple[int, bytes]]:
-    """Blocks by bucket, numbered from `first`: sorted 24-bit codes (signature bits and kind) as deltas, then the keys."""
+    kind: in its lowest bit; above it, what the posting asks, and WIDE if its second parity goes along.
+    """
     bucket = (sig % U(buckets)).astype(np.int64)
-    code = ((sig >> U(64 - CODE_BITS)).astype(np.int64) << 1) | kind
-    order = np.argsort((bucket << (CODE_BITS + 1)) | code)
+    code = ((kind.astype(np.int64) >> 1) << (CODE_BITS + 1)) | ((sig >> U(64 - CODE_BITS)).astype(np.int64) << 1) | (kind & 1)
+    order = np.argsort((bucket << (CODE_BITS + 1 + ASK_BITS)) | code)
     bucket, code, keys = bucket[order], code[order], keys[order]
+    second = np.zeros(len(code), U) if second is None else second[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
     for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
         deltas = np.diff(code[a:b], prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
         small = zlib.compress(deltas, 1)
-        yield first + int(bucket[a]), len(small).to_bytes(4, "little") + small + keys[a:b].astype("<u8").tobytes()
+        wide = a + int(np.searchsorted(code[a:b], WIDE << (CODE_BITS + 1)))
+        yield first + int(bucket[a]), len(small).to_bytes(4, "little") + small + keys[a:b].astype("<u8").tobytes() + second[wide:b].astype("<u8").tobytes()
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+def opened(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, keys, second parities, 0 where none goes along)."""
     n = int.from_bytes(block[:4], "little")
     planes = np.frombuffer(zlib.decompress(block[4 : 4 + n]), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)), np.frombuffer(block, "<u8", offset=4 + n)
+    code = np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
+    rest = np.frombuffer(block, "<u8", offset=4 + n)
+    return code, rest[: len(code)], np.r_[np.zeros(2 * len(code) - len(rest), U), rest[len(code) :]]
 
 
-def in_order(code: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, keys, keys that occur twice under one code), sorted by code and the keys' upper bits, repeats dropped."""
-    order = np.argsort((code.astype(U) << U(40)) | (key >> U(24)))
+def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return opened(block)[:2]
+
+
+def place_in_order(code: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Sorts by signature and kind, then by size, by the upper bits of the parity and by what is asked."""
+    asks, sig = code >> (CODE_BITS + 1), code & ((1 << (CODE_BITS + 1)) - 1)
+    return (sig.astype(U) << U(40)) | ((key & U(127)) << U(33)) | ((key >> U(SIZE_BITS + 24 + ASK_BITS)) << U(ASK_BITS)) | asks.astype(U)
+
+
+def in_order(code: np.ndarray, key: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(codes, keys, keys that occur twice under one code, others), sorted by place_in_order, repeats dropped."""
+    order = np.argsort(place_in_order(code, key))
     code, key = code[order], key[order]
     new = np.r_[True, (code[1:] != code[:-1]) | (key[1:] != key[:-1])] if len(code) else np.zeros(0, bool)
-    return code[new], key[new], np.unique(key[~new])
+    return code[new], key[new], np.unique(key[~new]), *(x[order][new] for x in others)
 
 
-def meetings(code: np.ndarray, key: np.ndarray, limit: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of keys that share a signature and may be similar: kind 0 with 0 or 1, smaller key first; if cross, 0 with 1.
+def meetings(code: np.ndarray, key: np.ndarray, limit: np.ndarray, cross: bool, second: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of keys that share a signature and may be similar, smaller key first; if cross, of kind 0 with kind 1.
 
-    code, key: as in_order gives them.
+    Each posting that asks meets those listed that are not larger, by place_in_order. code, key: as in_order gives them.
     """
-    parity, size = key >> U(SIZE_BITS), (key & U(127)).astype(np.int64)
-    most = int(limit.max())
-    run = code >> 1
-    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], len(run)]
-    zeros = np.add.reduceat(1 - (code & 1), starts) if len(starts) else np.zeros(0, np.int64)
+    if cross:
+        run = code >> 1
+        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
+        ends = np.r_[starts[1:], len(run)]
+        zeros = np.add.reduceat(1 - (code & 1), starts) if len(starts) else np.zeros(0, np.int64)
+        asking = np.flatnonzero(~code & 1)
+        own = np.repeat(np.arange(len(starts)), zeros)
+        for i, j in compared(asking, (starts + zeros)[own], ends[own], key, key, limit):
+            yield key[i], key[j]
+        return
+    wide, what = np.divmod(code >> (CODE_BITS + 1), WIDE)
+    run = (code >> 1) & ((1 << CODE_BITS) - 1)
+    second = np.zeros(len(key), U) if second is None else second
+    # postings that are alone under their signature meet none
+    same = run[1:] == run[:-1]
+    held = np.r_[False, same] | np.r_[same, False] if len(run) else np.zeros(0, bool)
+    code, key, what, run, second, wide = (x[held] for x in (code, key, what, run, second, wide == 1))
+    listed = what < ONLY_WHOLE
+    order, to = place_in_order(code & ((1 << (CODE_BITS + 1)) - 1), key)[listed], key[listed]
+    second_to, wide_to = second[listed], wide[listed]
+    for kind, asking in ((0, what > LISTED), (1, ((what == ALL) | (what == ONLY_ALL)) & (code & 1 == 0))):
+        at = np.flatnonzero(asking)
+        target = (run[at] << 1) | kind
+        begin = np.searchsorted(order, target.astype(U) << U(40))
+        end = np.searchsorted(order, place_in_order(target, key[at]) | U((1 << ASK_BITS) - 1), "right")
+        for i, j in compared(at, begin, end, key, to, limit):
+            a, b = key[i], to[j]
+            most = limit[(a & U(127)).astype(np.int64), (b & U(127)).astype(np.int64)]
+            far = np.where(wide[i] & wide_to[j] & (most < PARITY), np.bitwise_count(second[i] ^ second_to[j]), 0)
+            ok = (far <= most) & (a != b)
+            yield np.minimum(a, b)[ok], np.maximum(a, b)[ok]
+
+
+def compared(at: np.ndarray, begin: np.ndarray, end: np.ndarray, key: np.ndarray, to: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): key[i], of places `at`, with to[j] of begin:end, as far as parities and sizes allow; those of equal `begin` follow each other."""
+    one, two, most = key >> U(SIZE_BITS), to >> U(SIZE_BITS), int(limit.max())
+    count = end - begin
+    at, begin, end, count = (x[count > 0] for x in (at, begin, end, count))
 
     def check(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        far = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int16)
-        ok = far <= limit[size[i], size[j]]
-        if cross:
-            return key[i[ok]], key[j[ok]]
-        ok &= key[i] != key[j]
-        i, j = i[ok], j[ok]
-        return np.minimum(key[i], key[j]), np.maximum(key[i], key[j])
-
-    length = ends - starts
-    busy = (length > 1) & (zeros > 0) & ((length > zeros) if cross else True)
-    small = busy & (length <= 256)
-    # runs of few postings: each posting of kind 0 with all that follow in its run
-    first = np.repeat(starts[small], zeros[small]) + (np.arange(zeros[small].sum()) - np.repeat(np.cumsum(zeros[small]) - zeros[small], zeros[small]))
-    begin = np.repeat((starts + zeros)[small], zeros[small]) if cross else first + 1
-    count = np.repeat(ends[small], zeros[small]) - begin
-    at = 0
-    upto = np.cumsum(count)
-    while at < len(first):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 2_000_000, "right")))
-        c = count[at:to]
-        i = np.repeat(first[at:to], c)
-        j = np.repeat(begin[at:to], c) + (np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c))
-        yield check(i, j)
-        at = to
-    # long runs: blocks of the matrix
-    for a, z, e in zip(starts[busy & ~small], zeros[busy & ~small], ends[busy & ~small]):
-        for x in range(a, a + z, 512):
-            y = min(x + 512, a + z)
-            for u in range(a + z if cross else x, e, 4096):
-                v = min(u + 4096, e)
-                near = np.bitwise_count(parity[x:y, None] ^ parity[None, u:v]) <= most
-                i, j = np.nonzero(near)
-                i, j = i + x, j + u
-                if not cross:
-                    keep = j > i
-                    i, j = i[keep], j[keep]
-                yield check(i, j)
+        a, b = key[i], to[j]
+        ok = np.bitwise_count((a ^ b) >> U(SIZE_BITS)) <= limit[(a & U(127)).astype(np.int64), (b & U(127)).astype(np.int64)]
+        return i[ok], j[ok]
+
+    starts = np.flatnonzero(np.r_[True, begin[1:] != begin[:-1]]) if len(begin) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(begin)]
+    total = np.add.reduceat(count, starts) if len(starts) else np.zeros(0, np.int64)
+    long = (total > 8_192) & (total > 256 * (ends - starts))
+    few = ~np.repeat(long, ends - starts)
+    # few in a run: each with each, by places
+    first, start, count = at[few], begin[few], count[few]
+    upto, n = np.cumsum(count), 0
+    while n < len(first):
+        to_n = max(n + 1, int(np.searchsorted(upto, (upto[n - 1] if n else 0) + 100_000, "right")))
+        c = count[n:to_n]
+        i = np.repeat(first[n:to_n], c)
+        j = np.repeat(start[n:to_n], c) + (np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c))
+        near = np.flatnonzero(np.bitwise_count(one[i] ^ two[j]) <= most)
+        yield check(i[near], j[near])
+        n = to_n
+    # long runs: blocks of the matrix, that fit into the cache
+    for a, e in zip(starts[long], ends[long]):
+        for x in range(a, e, 32):
+            mine = at[x : min(x + 32, e)]
+            last = int(end[x : min(x + 32, e)].max())
+            for u in range(int(begin[a]), last, 4096):
+                v = min(u + 4096, last)
+                near = np.flatnonzero(np.bitwise_count(one[mine][:, None] ^ two[None, u:v]) <= most)
+                if len(near):
+                    yield check(mine[near // (v - u)], near % (v - u) + u)
 
 
 def size_histogram(rows: DataFrame, text: str, least: int) -> dict[int, int]:
@@ -441,7 +535,7 @@ def size_histogram(rows: DataFrame, text: str, least: int) -> dict[int, int]:
         for b in batches:
             for s in b.column(0).to_pylist():
                 if s is not None:
-                    n = len(set(WORD.findall(s.lower())))
+                    n = len(set(words(s)))
                     total[n] = total.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["n", "c"])
 
@@ -482,14 +576,50 @@ def chunked(batches: Iterable[pa.RecordBatch], block: int) -> Iterator[list[list
         yield held
 
 
-def band_postings(sets: Sets, hashes: np.ndarray, keys: np.ndarray, plan: Plan) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(band, signatures, places in `sets`, kinds) of each band."""
+def band_postings(sets: Sets, hashes: np.ndarray, keys: np.ndarray, plan: Plan) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(band, signatures, places in `sets`, kinds, cells) of each band."""
     known = places(plan.known, hashes)
     for b, band in enumerate(plan.bands):
         keep = (sets.sizes < len(band.member)) & band.member[np.minimum(sets.sizes, len(band.member) - 1)]
         part = sets.take(keep)
-        s, owner, k = signatures(part, hashes[part.flat], plan, known[part.flat], b)
-        yield b, s, np.flatnonzero(keep)[owner], k
+        s, owner, k, cell = signatures(part, hashes[part.flat], plan, known[part.flat], b)
+        yield b, s, np.flatnonzero(keep)[owner], k, cell
+
+
+def asked(s: np.ndarray, cell: np.ndarray, sizes: np.ndarray, band: Band, crowds: np.ndarray) -> np.ndarray:
+    """What each posting of the sets asks, by what costs least in the sample.
+
+    A partner is missed only if it differs in one word of each group asked in whole and in two of each asked with its
+    subsets. What is left out keeps the sum of these above the largest difference that a partner may have.
+    """
+    g, n = band.groups, len(sizes)
+    need = band.need[sizes]
+    at = (s >> U(64 - CROWD_BITS)).astype(np.int64)
+    whole = crowds[0][at]
+    less = np.bincount(cell[n * g :], weights=whole[n * g :], minlength=n * g).reshape(n, g)
+    exact = whole[: n * g].reshape(n, g) + 0.02
+    near = exact + crowds[1][at[: n * g]].reshape(n, g) + less + 0.04
+    spare = np.where(need > 0, np.minimum(2 * g - need, LEFT_OUT), 0)
+    most = int(spare.max(initial=0))
+    # cost[k]: of the groups from here on, if k of what they allow may be left out
+    cost, best = np.zeros((most + 1, n)), np.zeros((g, most + 1, n), np.int8)
+    for i in range(g - 1, -1, -1):
+        now = near[:, i] + cost
+        for left, price in ((1, exact[:, i]), (2, 0.0)):
+            for k in range(left, most + 1):
+                other = price + cost[k - left]
+                better = other < now[k]
+                now[k] = np.where(better, other, now[k])
+                best[i, k][better] = left
+        cost = now
+    asks = np.zeros((n, g), np.int8)
+    for i in range(g):
+        left = best[i, spare, np.arange(n)]
+        asks[:, i] = ALL - left
+        spare = spare - left
+    asks[need == 0] = LISTED
+    asks = asks.ravel()
+    return np.concatenate([asks, np.where(asks[cell[n * g :]] == ALL, WHOLE, LISTED)])
 
 
 def joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
@@ -499,7 +629,8 @@ def joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
 
 def postings(batches: Iterable[pa.RecordBatch], plan: Plan, block: int = 16_384) -> Iterator[pa.RecordBatch]:
     """One row (bucket, block) per task, chunk and bucket from rows of (text)."""
-    vocabulary = Vocabulary()
+    vocabulary, crowds = Vocabulary(), [b.crowds() for b in plan.bands]
+    crowded = [c.sum(0) >= b.wide for b, c in zip(plan.bands, crowds)]
     for (texts,) in chunked(batches, block):
         vocabulary.bounded()
         sets = read_sets(texts, plan.measure.least, vocabulary)
@@ -512,10 +643,14 @@ def postings(batches: Iterable[pa.RecordBatch], plan: Plan, block: int = 16_384)
         copies = keys[by_key][nth < 2]
         single = first_of_each(keys, content_of(hashes[sets.flat], starts))
         sets, keys = sets.take(single), keys[single]
-        parts = [(mix(copies ^ U(0xC0FFEE)), copies, np.zeros(len(copies), np.int64))]
-        for b, s, at, k in band_postings(sets, hashes, keys, plan):
-            parts.append(spread_hot(s, keys[at], k, plan.bands[b], False))
-        yield blocks_of(pack(*joined(parts), plan.buckets))
+        second = second_parity(hashes[sets.flat], np.cumsum(sets.sizes) - sets.sizes)
+        parts = [(mix(copies ^ U(0xC0FFEE)), copies, np.zeros(len(copies), np.int64), np.zeros(len(copies), U))]
+        for b, s, at, k, cell in band_postings(sets, hashes, keys, plan):
+            asks = WHOLE if plan.bands[b].lists else asked(s, cell, sets.sizes[at[: int((k == 0).sum()) : plan.bands[b].groups]], plan.bands[b], crowds[b])
+            wide = crowded[b][s >> U(64 - CROWD_BITS)]
+            parts.append(spread_hot(s, keys[at], k | ((asks + WIDE * wide) << 1), plan.bands[b], False, second[at]))
+        sig, key, kind, second = (np.concatenate(p) for p in zip(*parts))
+        yield blocks_of(pack(sig, key, kind, plan.buckets, 0, second))
 
 
 def first_of_each(keys: np.ndarray, *others: np.ndarray) -> np.ndarray:
@@ -532,7 +667,7 @@ def across_postings(sets: Sets, hashes: np.ndarray, keys: np.ndarray, kind: np.n
     First: whole groups of kind 0 with whole groups and subsets of kind 1. Second: whole groups of kind 1 with subsets of kind 0.
     """
     one, two = [], []
-    for b, s, at, less in band_postings(sets, hashes, keys, plan):
+    for b, s, at, less, _ in band_postings(sets, hashes, keys, plan):
         band, key, k = plan.bands[b], keys[at], kind[at]
         use = (k == 1) | (less == 0)
         one.append(spread_hot(s[use], key[use], k[use], band, True))
@@ -541,13 +676,12 @@ def across_postings(sets: Sets, hashes: np.ndarray, keys: np.ndarray, kind: np.n
     return joined(one), joined(two)
 
 
-def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, codes, keys): all postings of each bucket, from rows (bucket, block) sorted by bucket."""
+def by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, codes, keys, second parities): all postings of each bucket, from rows (bucket, block) sorted by bucket."""
     now, held = -1, []
 
-    def whole() -> tuple[int, np.ndarray, np.ndarray]:
-        parts = [unpack(x) for x in held]
-        return now, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    def whole() -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        return now, *(np.concatenate(p) for p in zip(*map(opened, held)))
 
     for batch in batches:
         for b, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -576,10 +710,10 @@ def candidates(rows: DataFrame, text: str, plan: Plan) -> DataFrame:
     limit = plan.measure.table()
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, code, key in by_bucket(batches):
-            code, key, twice = in_order(code, key)
+        for _, code, key, second in by_bucket(batches):
+            code, key, twice, second = in_order(code, key, second)
             found = [np.stack([twice, twice])]
-            for a, b in meetings(code, key, limit, cross=False):
+            for a, b in meetings(code, key, limit, False, second):
                 if len(a):
                     found.append(np.stack([a, b]))
             yield key_pairs(found)

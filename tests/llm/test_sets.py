@@ -201,3 +201,56 @@ def test_filter_lets_all_its_values_pass(spark, monkeypatch):
     assert got >= set(range(0, 3000, 10)) and len(got) < 330
     monkeypatch.setattr(sets, "MOST_BITS", 1)
     assert {r["key"] for r in sets.maybe_in(df, sets.filter_of(some)).collect()} == set(range(0, 3000, 10))
+
+
+def test_crowded_signatures_are_left_out_and_nothing_is_lost():
+    # templates of common words with few rare ones: some group is crowded in every set
+    r, common, rare = random.Random(9), [f"c{i}" for i in range(60)], [f"r{i}" for i in range(1500)]
+    templates = [r.sample(common, 22) for _ in range(3)]
+    rows = []
+    for i in range(1200):
+        w = r.choice(templates) + r.sample(rare[:40], 5) + r.sample(rare, 9)
+        rows.append(" ".join(w))
+        if i % 8 == 0:
+            for j in r.sample(range(36), r.choice([1, 3, 5, 6])):
+                w[j] = r.choice([w[j] + "x", r.choice(rare), "c0"])
+            rows.append(" ".join(w))
+    m, v = sets.Measure(Fraction(7, 10), 12), sets.Vocabulary()
+    s = sets.read_sets(rows, 12, v)
+    keys = sets.keys_of(v.grown()[s.flat], np.cumsum(s.sizes) - s.sizes, s.sizes)
+    texts = [frozenset(sets.words(x)) for x in rows]
+    close = {(min(a, b), max(a, b)) for i, a in enumerate(keys.tolist()) for j, b in enumerate(keys[:i].tolist()) if a != b and m.holds(texts[i], texts[j])}
+    # as for 20 million rows: crowded signatures are spread over cells and have a second parity
+    plan = sets.make_plan(m, {n: 8_000 * c for n, c in zip(*(x.tolist() for x in np.unique(s.sizes, return_counts=True)))}, r.sample(rows, 600), 1)
+    plan.buckets = 1
+    parts = [sets.opened(x) for b in sets.postings([pa.RecordBatch.from_arrays([pa.array(rows)], ["t"])], plan) for x in b.column(1).to_pylist()]
+    code, key, second = (np.concatenate(p) for p in zip(*parts))
+    asks = code >> (sets.CODE_BITS + 1)
+    assert (asks >= sets.WIDE).any() and any(len(b.hot) for b in plan.bands)
+    code, key, _, second = sets.in_order(code, key, second)
+    found = set()
+    for a, b in sets.meetings(code, key, m.table(), False, second):
+        found |= set(zip(a.tolist(), b.tolist()))
+    assert close <= found and len(close) > 100
+    # compared pairs: each posting that asks with those listed under its signature
+    what, sig = (code >> (sets.CODE_BITS + 1)) % sets.WIDE, code & ((1 << (sets.CODE_BITS + 1)) - 1)
+    listed = np.bincount(sig[what < sets.ONLY_WHOLE], minlength=1 << (sets.CODE_BITS + 1))
+    compared = listed[sig[what > 0] & ~1].sum() + listed[sig[(what % 2 == 0) & (what > 0) & (sig & 1 == 0)] | 1].sum()
+    every = 0
+    for _, s_, _, k, _ in sets.band_postings(s, v.grown(), keys, plan):
+        u, at = np.unique(s_, return_inverse=True)
+        whole, less = (np.bincount(at[k == x], minlength=len(u)) for x in (0, 1))
+        every += int((whole * whole + 2 * whole * less).sum())
+    assert compared < 0.7 * every
+
+
+def test_a_set_asks_least_where_it_is_crowded():
+    band = sets.Band(0, 99, 3, False, np.ones(99, bool), need=np.full(99, 4))
+    n, sizes = 2, np.array([6, 6])
+    s = sets.mix(np.arange(n * 3 + 12, dtype=np.uint64))
+    cell = np.concatenate([np.arange(n * 3), np.repeat(np.arange(n * 3), 2)])
+    crowds = np.zeros((2, 1 << sets.CROWD_BITS), np.float32)
+    crowds[0][s[[1, 3]] >> np.uint64(64 - sets.CROWD_BITS)] = 1000
+    asks = sets.asked(s, cell, sizes, band, crowds)
+    assert asks[:6].tolist() == [sets.ALL, sets.LISTED, sets.ALL, sets.LISTED, sets.ALL, sets.ALL]
+    assert asks[6:].tolist() == [sets.WHOLE] * 2 + [sets.LISTED] * 2 + [sets.WHOLE] * 2 + [sets.LISTED] * 2 + [sets.WHOLE] * 4
